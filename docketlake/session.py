@@ -45,3 +45,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int, rows: int | None = None) ->
 
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle only where the scan gives fewer tasks than there are cores (one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
