@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.charforms import canonical_tdoc
+from docketlake.operators.graph import reach
 from docketlake.session import checkpoint, table
 
 
@@ -94,31 +95,13 @@ def meeting_orphans(spark, sf_dir: str) -> DataFrame:
     return a.select(F.lit("relationships").alias("src_table"), "*").unionByName(b.select(F.lit("agenda").alias("src_table"), "*"))
 
 
-def inherited_orphans(orphans: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(node, depth) of every node that reaches an orphan node along links child -> parent.
+def inherited_orphans(orphans: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, depth) of every node that leads to an orphan node (node) along links child -> parent, the orphans at 0.
 
-    ``orphans`` has (node), ``links`` has (child, parent); nulls are dropped, cycles end
-    because a node is taken once, at its least depth. Each round is a semi-join of the
-    links with the last frontier; the lineage is cut by a checkpoint.
+    A fixpoint of semi-joins down the key graph; cycles end because a node is taken once,
+    at its least depth.
     """
-    links = checkpoint(links.where("child is not null and parent is not null and child <> parent").distinct())
-    seen = checkpoint(orphans.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
-        fresh = (
-            links.join(frontier.select(F.col("node").alias("parent")), "parent", "left_semi")
-            .select(F.col("child").alias("node"))
-            .distinct()
-            .join(seen, "node", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = checkpoint(fresh)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if depth % 10 == 0:
-            seen = checkpoint(seen)
-    return seen
+    return reach(orphans, links.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
 
 
 def orphan_cascade(spark, sf_dir: str) -> DataFrame:

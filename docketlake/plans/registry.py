@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from docketlake.functions.sqltext import tdoc_sql
 from docketlake.operators import orphans, packed
+from docketlake.plans import queries, queries_sql
 
 QUERIES = {
+    **queries.QUERIES,
     "p1_found": orphans.p1_found,
     "p1_monthly": orphans.p1_monthly,
     "p1_cascade": orphans.p1_cascade,
@@ -33,6 +35,7 @@ orphans AS (
 )"""
 
 SQL = {
+    **queries_sql.SQL,
     "p1_found": f"WITH {_ORPHANS} SELECT src_table, record_id, reason FROM orphans",
     "p1_monthly": f"""WITH {_ORPHANS}
 SELECT src_table, strftime(at_time, '%Y-%m') AS month, reason, count(*) AS orphans FROM orphans GROUP BY ALL""",
