@@ -51,3 +51,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Shuffle only where the scan gives fewer tasks than there are cores (one small file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def even(df: DataFrame, *columns: str) -> DataFrame:
+    """As many partitions as a shuffle has, for rows that are few in bytes but dear to compute; they are not coalesced."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)

@@ -277,6 +277,13 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_parse, SCHEMA)
 
 
+def parse_files_keyed(files: DataFrame) -> DataFrame:
+    """parse_files for files with cache keys (cache_key, sha256, parser_version), which every row keeps."""
+    keys = files.select(F.col("path").alias("_p"), "cache_key", "sha256", "parser_version")
+    rows = parse_files(files)
+    return rows.join(keys, F.col("path") == F.col("_p")).drop("_p")
+
+
 def document_index(parsed: DataFrame, tdoc, source) -> DataFrame:
     """Parsed rows as a paragraph index: section carried on, hash, identifiers."""
     rows = parsed.where("text is not null").select(tdoc.alias("tdoc"), source.alias("source"), "inner_file", "ordinal", "kind", "locator", "text", "change_state", "style")
