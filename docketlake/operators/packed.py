@@ -202,7 +202,7 @@ def split_values(cell: Column, rules: Rules) -> Column:
     def values(cells: pd.Series) -> pd.Series:
         return pd.Series([split_cell(c, rules) for c in cells])
 
-    return values(cell)
+    return values.asNondeterministic()(cell)  # else a filter that explode implies splits every cell twice
 
 
 def agenda_cells(spark, sf_dir: str, fields: tuple[str, ...] = ("source", "comments")) -> DataFrame:

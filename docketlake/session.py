@@ -53,8 +53,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def even(df: DataFrame, *columns: str) -> DataFrame:
-    """As many partitions as a shuffle has, for rows that are few in bytes but dear to compute; they are not coalesced."""
+def even(df: DataFrame) -> DataFrame:
+    """As many partitions as a shuffle has, for rows that are few in bytes but dear to compute.
+
+    Round robin: a hash by columns that are already spread would be planned away, and coalesced.
+    """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *columns)
+    return df.repartition(n)
