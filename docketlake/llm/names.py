@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.confusables import consistent_form
 from docketlake.operators.packed import LEGAL_FORMS, agenda_values
-from docketlake.session import table
+from docketlake.session import even, table
 
 TRIE_NAMES = 20_000
 MAX_COST = 3.0
+CLEAR = 0.25  # entries this close to the best are a tie
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 _WORDS = re.compile(r"[^\W_]+")
 _LEGAL = re.compile(
@@ -220,7 +221,7 @@ class Register:
         if not costs:
             return None
         low = min(costs.values())
-        won = [e for e, c in costs.items() if c <= low + 1e-9]
+        won = [e for e, c in costs.items() if c <= low + CLEAR]
         return (won[0], low) if len(won) == 1 else (-1, low)
 
 
@@ -241,7 +242,7 @@ def link_names(values: DataFrame, value: str, register: DataFrame, trie_names: i
                 hits = [(v, *m) for v in pdf["value"] if (m := reg.match(v))]
                 yield pd.DataFrame(hits, columns=["value", "entry_id", "cost"])
 
-        part = typed.mapInPandas(run, "value string, entry_id long, cost double")
+        part = even(typed).mapInPandas(run, "value string, entry_id long, cost double")
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         best = found.groupBy("value").agg(F.min("cost").alias("low"))
