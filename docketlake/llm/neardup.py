@@ -1,15 +1,20 @@
 """Near-duplicate records with small edits, by pigeonhole blocks over fingerprints.
 
-A record's fingerprint is the vector of the least word hashes under ``BLOCKS * PER_BLOCK``
-hash functions; its distance to another (Hamming: components that differ) follows their
-word similarity J. The fingerprint is split into blocks, records with an equal block meet,
-and a pair goes on if a second fingerprint of ``BITS`` bits is within ``MOST_BITS`` of
-Hamming distance. An exact check of the word sets follows, so no false pair remains. A
-pair at J = 0.7 shares no block with probability (1 - 0.7^5)^60 < 2e-5, a closer one with
-less; the bit distance rejects it with less than 1e-8. Both are the same at every size.
-
-Records with the same words form a class and meet once; copies are paired only in the
-result. Nothing is capped.
+A record's fingerprint is a list of blocks, one for each of its ``BLOCKS`` rarest words
+(short records use a word several times, with other functions): the word and the
+``PER_BLOCK`` least hashes of the record's words under functions drawn from that word.
+Edits that leave a word similarity J touch few blocks, so a close pair shares one: two
+records of J = 0.7 have about 0.8 of these words in common and each such block agrees with
+probability J^2, so that none does has a probability of 1e-3 to 1e-5; at J = 0.8 it is
+below 1e-6. Records that share a block are compared by a second fingerprint of ``BITS``
+bits (Hamming distance at most ``MOST_BITS``; a pair at J = 0.7 is beyond it with less than
+1e-4). An exact check of the word sets follows, so no false pair remains. Rarity comes
+from a count-min sketch of fixed size over all records. All parameters are the same at
+every size, and nothing is capped.
+
+Texts are split into words once; the sets (32-bit hashes, so two different words of a pair
+are taken for one with a probability below 1e-6) are kept by class: records with the same
+words form a class and meet once, copies are paired only in the result.
 
 Defined results: null and empty texts and texts without a letter or digit match nothing;
 repeated rows of one id are one record; an empty table gives no pairs.
@@ -17,111 +22,164 @@ repeated rows of one id are one record; an empty table gives no pairs.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm.confusables import consistent_form
-from docketlake.session import checkpoint, spread, table
-
-BLOCKS = 60
-PER_BLOCK = 5
-BITS = 128
-MOST_BITS = 44
+from docketlake.session import spread, table
+
+BLOCKS = 20
+PER_BLOCK = 2
+BITS = 192
+MOST_BITS = 49
+SKETCH_ROWS, SKETCH_WIDTH = 3, 1 << 16
+ROWS_AT_ONCE = 2000
 _WORD = re.compile(r"[^\W_]+")
-_SEEDS = np.random.default_rng(20_240_607).integers(1, 2**63, BLOCKS * PER_BLOCK + BITS, dtype=np.uint64) | np.uint64(1)
-_MIXERS = np.random.default_rng(7).integers(1, 2**63, PER_BLOCK, dtype=np.uint64) | np.uint64(1)
-
-
-def words(text: str | None) -> list[str]:
-    """The different words of a text, sorted."""
-    return sorted(set(_WORD.findall(consistent_form(text).lower()))) if text else []
-
-
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_TIMES = np.array([i * 0x9E3779B97F4A7C15 % 2**64 for i in range(64)], np.uint64)
+_BIT_SEEDS = np.random.default_rng(7).integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
 
 
-class Fingerprints:
-    """Per worker: word -> (hash, its value under every hash function)."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _C1
+    return x ^ (x >> np.uint64(29))
 
-    def __init__(self, most: int = 30_000):
-        self.known: dict[str, tuple[int, np.ndarray]] = {}
-        self.most = most
 
-    def of(self, word: str) -> tuple[int, np.ndarray]:
-        if (got := self.known.get(word)) is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            h = word_hash(word)
-            x = (np.uint64(h) ^ _SEEDS) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            got = self.known[word] = (h, ((x ^ (x >> np.uint64(29))) >> np.uint64(32)).astype(np.uint32))
-        return got
+def words(text: str | None) -> set[str]:
+    """The different words of a text."""
+    return set(_WORD.findall(consistent_form(text).lower())) if text else set()
 
-    def fingerprint(self, ws: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Word hashes, block values (int32), the bit fingerprint (two int64)."""
-        got = [self.of(w) for w in ws]
-        low = np.array([v for _, v in got]).min(axis=0)
-        parts = low[: BLOCKS * PER_BLOCK].astype(np.uint64).reshape(BLOCKS, PER_BLOCK)
-        h = (parts * _MIXERS).sum(axis=1, dtype=np.uint64)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        bits = np.packbits((low[BLOCKS * PER_BLOCK :] & np.uint32(1)).astype(np.uint8)).view(np.int64)
-        return [x for x, _ in got], (h >> np.uint64(32)).astype(np.uint32).view(np.int32), bits
 
+class WordHashes(dict):
+    """Word -> 32-bit hash; per worker, bounded."""
 
-_fingerprints = Fingerprints()
-_SCHEMA = "id bigint, class bigint, n int, b0 bigint, b1 bigint, blocks array<int>, words array<bigint>"
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        raw = word.encode("utf-8", "surrogatepass")
+        x = (crc32(raw) | crc32(raw[::-1]) << 32) * 0xBF58476D1CE4E5B9 % 2**64
+        h = self[word] = ((x ^ x >> 32) * 0x94D049BB133111EB >> 32) % 2**32
+        return h
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+_hashes = WordHashes()
 
 
-def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, class, words)."""
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        ids, flat, ends = [], [], [0]
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if ws := words(t):
-                hashes, blocks, bits = _fingerprints.fingerprint(ws)
-                hashes.sort()
-                key = int.from_bytes(hashlib.blake2b(np.array(hashes, np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True)
-                for col, v in zip(cols, (i, key, len(ws), int(bits[0]), int(bits[1]), blocks, [_signed(h) for h in hashes]), strict=True):
-                    col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "class", "n", "b0", "b1", "blocks", "words"])
+                ids.append(i)
+                flat += map(_hashes.__getitem__, ws)
+                ends.append(len(flat))
+        values, at = np.array(flat, np.uint32), np.array(ends, np.int32)
+        # the sum of the words' mixed hashes does not depend on their order
+        classes = np.add.reduceat(_mix(_mix(values.astype(np.uint64) + _TIMES[1])), at[:-1]) if ids else np.zeros(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes.view(np.int64)), lists], ["id", "class", "words"])
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    """The sketch cell of each word in each row of the sketch."""
+    return np.stack([(_mix(hashes + _TIMES[r + 2]) >> np.uint64(40)) % np.uint64(SKETCH_WIDTH) for r in range(SKETCH_ROWS)]).astype(np.int64)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and the length of each."""
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), np.diff(lists.offsets.to_numpy())
+
+
+def count_words(sets: DataFrame) -> np.ndarray:
+    """Count-min sketch of how many records hold a word; SKETCH_ROWS * SKETCH_WIDTH counters whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64)
+        for batch in batches:
+            hashes, n = np.unique(_flat(batch.column(0))[0], return_counts=True)
+            for row, cells in zip(sketch, _cells(hashes), strict=True):
+                np.add.at(row, cells, n)
+        at = np.flatnonzero(sketch)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sketch.ravel()[at])], ["cell", "n"])
+
+    got = sets.select("words").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(SKETCH_ROWS * SKETCH_WIDTH, np.int64)
+    sketch[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return sketch.reshape(SKETCH_ROWS, SKETCH_WIDTH)
+
+
+def fingerprints(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record of each block, block key, bits of each record) of word sets laid end to end; no set is empty."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    known, back = np.unique(hashes, return_inverse=True)
+    common = np.min([row[c] for row, c in zip(sketch, _cells(known), strict=True)], axis=0)
+    bits = np.zeros((len(sizes), BITS), np.uint8)
+    for j in range(BITS):
+        values = (_mix((known + _TIMES[1]) * _BIT_SEEDS[j] ^ _BIT_SEEDS[j]) >> np.uint64(32)).astype(np.uint32)
+        bits[:, j] = np.minimum.reduceat(values[back], starts) & np.uint32(1)
+    order = np.lexsort((hashes, common[back], record))
+    place = np.arange(len(hashes)) - np.repeat(starts, sizes)
+    rounds = np.maximum(1, (BLOCKS / sizes + 0.5).astype(np.int64))
+    records, keys = [], []
+    mixed = hashes * _C2
+    for r in range(int(rounds.max())):
+        chosen = order[(place < BLOCKS) & (rounds[record] > r)]  # order keeps the records' ranges, so place and record hold for it
+        own = record[chosen]
+        spans = sizes[own]
+        first = np.concatenate([[0], np.cumsum(spans)[:-1]])
+        others = np.arange(spans.sum()) - np.repeat(first - starts[own], spans)
+        key = word = _mix(hashes[chosen] + _TIMES[r + 5])
+        for j in range(PER_BLOCK):
+            seeds = _mix(word + _TIMES[j + 1])
+            low = np.minimum.reduceat(_mix(np.repeat(seeds, spans) ^ mixed[others]), first)
+            key = _mix(key * _C1 ^ low)
+        records.append(own)
+        keys.append(key)
+    return np.concatenate(records), np.concatenate(keys), np.packbits(bits, axis=1).view(np.int64)
+
+
+def _block_rows(shared) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "class", *(f"bits{i}" for i in range(BITS // 64))]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                hashes, sizes = _flat(batch.column(1))
+                own, keys, bits = fingerprints(hashes, sizes, shared.value)
+                columns = [keys.view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[own], *bits[own].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+    return run
 
 
 def near_duplicates(records: DataFrame, rid: str, text: str, tenths: int = 7) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records with word similarity of at least tenths / 10."""
-    rows = records.select(F.col(rid).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null")
-    prints = checkpoint(spread(rows).mapInArrow(_fingerprinted, _SCHEMA))
-    members = prints.select("id", "class").distinct()
-    classes = prints.drop("id").dropDuplicates(["class"])
-    met = classes.select("class", "n", "b0", "b1", F.posexplode("blocks").alias("block", "h")).repartition("block", "h")
-    a, b = (met.select("block", "h", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "b0", "b1"))) for s in "ab")
-    far = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
-    near = (
-        a.join(b, ["block", "h"])
-        .where((F.col("class_a") < F.col("class_b")) & (F.least("n_a", "n_b") * 10 >= F.greatest("n_a", "n_b") * tenths) & (far <= MOST_BITS))
-        .select("class_a", "class_b")
-        .distinct()
-    )
+    rows = spread(records.select(F.col(rid).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null"))
+    # kept by class for all that follows; a lost part is computed again from its rows
+    members = rows.mapInArrow(_word_sets, "id bigint, class bigint, words array<int>").repartition("class").persist(StorageLevel.MEMORY_AND_DISK)
+    shared = records.sparkSession.sparkContext.broadcast(count_words(members))
+    classes = members.groupBy("class").agg(F.first("words").alias("words"))
+    longs = range(BITS // 64)
+    schema = "block bigint, class bigint, " + ", ".join(f"bits{i} bigint" for i in longs)
+    # kept for both sides of the join, which would otherwise compute and shuffle the blocks twice
+    blocks = classes.mapInArrow(_block_rows(shared), schema).repartition("block").persist(StorageLevel.MEMORY_AND_DISK)
+    a, b = (blocks.select("block", F.col("class").alias(f"class_{s}"), *(F.col(f"bits{i}").alias(f"bits{i}_{s}") for i in longs)) for s in "ab")
+    far = sum((F.bit_count(F.col(f"bits{i}_a").bitwiseXOR(F.col(f"bits{i}_b"))) for i in longs), F.lit(0))
+    near = a.join(b, "block").where((F.col("class_a") < F.col("class_b")) & (far <= MOST_BITS)).select("class_a", "class_b").distinct()
     sets = [classes.select(F.col("class").alias(f"class_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab"]
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    near = (
-        near.join(sets[0], "class_a")
-        .join(sets[1], "class_b")
-        .withColumn("both", both)
-        .where(F.col("both") * 10 >= (F.size("words_a") + F.size("words_b") - F.col("both")) * tenths)
-        .select("class_a", "class_b")
-    )
-    m = [members.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab"]
+    near = near.join(sets[0], "class_a").join(sets[1], "class_b").withColumn("both", F.size(F.array_intersect("words_a", "words_b")))
+    near = near.where(F.col("both") * 10 >= (F.size("words_a") + F.size("words_b") - F.col("both")) * tenths).select("class_a", "class_b")
+    ids = members.groupBy("class", "id").agg(F.lit(1)).select("id", "class")
+    m = [ids.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab"]
     across = near.join(m[0], "class_a").join(m[1], "class_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     copies = m[0].join(m[1], F.col("class_a") == F.col("class_b")).where("id_a < id_b").select("id_a", "id_b")
     return across.unionByName(copies)
