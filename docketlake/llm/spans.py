@@ -22,14 +22,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.session import checkpoint, spread, table
+from docketlake.session import spread, table
 
 LEAST = 120
-GRAM = 32
-WINDOW = 29
+GRAM = 60
+WINDOW = 61
 _BASE = 0x9E3779B97F4A7C15
 _NO_HASH = np.zeros(0, np.uint64)
 
@@ -92,7 +93,7 @@ def shared_spans(records: DataFrame, rid: str, text: str, least: int = LEAST) ->
                 owner.append(np.full(len(a), th, np.int64))
             yield pa.RecordBatch.from_arrays([_ints(np.concatenate(found)), pa.array(np.concatenate(owner))], ["anchor", "th"])
 
-    anchors = checkpoint(spread(rows.select("text", "th")).mapInArrow(seeds, "anchor bigint, th bigint"))
+    anchors = spread(rows.select("text", "th")).mapInArrow(seeds, "anchor bigint, th bigint").persist(StorageLevel.MEMORY_AND_DISK)
     shared = anchors.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("anchor")
     of_text = anchors.join(shared, "anchor").groupBy("th").agg(F.collect_set("anchor").alias("anchors"))
     texts = rows.select("th", "text").dropDuplicates(["th"]).join(of_text, "th")
@@ -111,7 +112,7 @@ def shared_spans(records: DataFrame, rid: str, text: str, least: int = LEAST) ->
                     at.append(where.astype(np.int64))
             yield pa.RecordBatch.from_arrays([_ints(np.concatenate(spans)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(at))], ["span", "th", "pos"])
 
-    spans = checkpoint(texts.select("text", "th", "anchors").mapInArrow(extend, "span bigint, th bigint, pos bigint"))
+    spans = texts.select("text", "th", "anchors").mapInArrow(extend, "span bigint, th bigint, pos bigint").persist(StorageLevel.MEMORY_AND_DISK)
     both = spans.groupBy("span").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("span")
     after = F.lead("pos").over(Window.partitionBy("th").orderBy("pos")) - F.col("pos")
     covered = (
