@@ -164,10 +164,10 @@ def _block_rows(shared) -> object:
 def near_duplicates(records: DataFrame, rid: str, text: str, tenths: int = 7) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records with word similarity of at least tenths / 10."""
     rows = spread(records.select(F.col(rid).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null"))
-    # kept by class for all that follows; a lost part is computed again from its rows
-    members = rows.mapInArrow(_word_sets, "id bigint, class bigint, words array<int>").repartition("class").persist(StorageLevel.MEMORY_AND_DISK)
+    # kept for all that follows; a lost part is computed again from its rows. Copies meet map-side, so a hot class is a row per task
+    members = rows.mapInArrow(_word_sets, "id bigint, class bigint, words array<int>").persist(StorageLevel.MEMORY_AND_DISK)
     shared = records.sparkSession.sparkContext.broadcast(count_words(members))
-    classes = members.groupBy("class").agg(F.first("words").alias("words"))
+    classes = members.groupBy("class").agg(F.first("words").alias("words")).persist(StorageLevel.MEMORY_AND_DISK)
     longs = range(BITS // 64)
     schema = "block bigint, class bigint, " + ", ".join(f"bits{i} bigint" for i in longs)
     # kept for both sides of the join, which would otherwise compute and shuffle the blocks twice
@@ -178,7 +178,7 @@ def near_duplicates(records: DataFrame, rid: str, text: str, tenths: int = 7) ->
     sets = [classes.select(F.col("class").alias(f"class_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab"]
     near = near.join(sets[0], "class_a").join(sets[1], "class_b").withColumn("both", F.size(F.array_intersect("words_a", "words_b")))
     near = near.where(F.col("both") * 10 >= (F.size("words_a") + F.size("words_b") - F.col("both")) * tenths).select("class_a", "class_b")
-    ids = members.groupBy("class", "id").agg(F.lit(1)).select("id", "class")
+    ids = members.select("id", "class").distinct()
     m = [ids.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab"]
     across = near.join(m[0], "class_a").join(m[1], "class_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     copies = m[0].join(m[1], F.col("class_a") == F.col("class_b")).where("id_a < id_b").select("id_a", "id_b")
