@@ -2,10 +2,11 @@
 
 Union-find runs inside the edge partitions as they are read; each keeps only a spanning
 forest (node -> least id of its local component). The forests are merged level by level
-through partitions of at most ``rows_per_task`` forest rows until one task can hold what
-is left and gives the global components. Where a level no longer shrinks (billions of
-nodes), the rest is contracted by large-star / small-star rounds, which never gather a
-component in one task; rounds are cut by checkpoints.
+through partitions of about ``rows_per_task`` forest rows, spread by node, of which a forest
+has one row each, until one task can hold what is left and gives the global components.
+Where a level no longer shrinks (billions of nodes), the rest is contracted by large-star /
+small-star rounds, which never gather a component in one task; rounds are cut by
+checkpoints.
 
 Defined results: rows with a null id and self links connect nothing and name no node;
 repeated and reversed rows count once; an empty edge table gives no groups. Other columns
@@ -81,7 +82,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rows_per_task: int =
     forest = checkpoint(_forest(pairs))
     rows = forest.count()
     while rows > rows_per_task:
-        merged = checkpoint(_forest(forest.repartition(-(-rows // rows_per_task), "root")))
+        merged = checkpoint(_forest(forest.repartition(-(-rows // rows_per_task), "node")))
         now = merged.count()
         forest, shrunk, rows = merged, now <= 0.7 * rows, now
         if not shrunk:
