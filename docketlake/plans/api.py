@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from docketlake.functions.text import likely_metadata, metadata_priority, tdoc_from_name
 from docketlake.operators import agenda, coverage, diff, graph, passages, relations, scope
+from docketlake.operators.resolve import resolve_meetings
 from docketlake.operators.scope import Query, QueryError
 from docketlake.session import checkpoint
 from docketlake.sources import cache, office, sinks
-from docketlake.streaming.resume import run_signature
+from docketlake.streaming.resume import read_or_none, run_signature
 
 
 @dataclass
@@ -173,3 +174,17 @@ def reach_known(edges: DataFrame, seeds: DataFrame, files: DataFrame, direction:
 
 cache_info = cache.cache_info
 cache_clear = cache.cache_clear
+
+
+def resolve(spark: SparkSession, hints: list[str], calendar: DataFrame, directories: DataFrame) -> DataFrame:
+    """One row per hint, see operators.resolve.resolve_meetings."""
+    return resolve_meetings(spark.createDataFrame(list(enumerate(hints)), "hint_id int, hint string"), calendar, directories)
+
+
+def cache_report(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Entries, files and bytes of a cache; zeros where there is none."""
+    parsed = read_or_none(spark, folder)
+    if parsed is None:
+        return {"entries": 0, "files": 0, "bytes": 0}
+    files = office.list_files(spark, folder).where(F.col("path").endswith(".parquet")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).first()
+    return {"entries": parsed.select("cache_key").distinct().count(), "files": files.files, "bytes": files.bytes}
