@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from docketlake.session import local_session
+from docketlake.session import local_session, ship
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     s = local_session(4, "4g")
     s.sparkContext.setLogLevel("OFF")
+    ship(s)
     s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield s
