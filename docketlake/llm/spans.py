@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.session import spread, table
@@ -99,28 +99,43 @@ def shared_spans(records: DataFrame, rid: str, text: str, least: int = LEAST) ->
     texts = rows.select("th", "text").dropDuplicates(["th"]).join(of_text, "th")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text the places of its candidate spans, the different spans, and which span is at which place."""
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         for batch in batches:
-            spans, owner, at = [_NO_HASH], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            columns: list[list] = [[], [], [], []]
             for t, th, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 sums = prefix_sums(t)
                 good = np.isin(window_anchors(sums).view(np.int64), known.values.to_numpy(zero_copy_only=False))
                 seen = np.concatenate([[0], np.cumsum(good)])
                 where = np.flatnonzero(seen[inner:] - seen[:-inner] == inner)
                 if len(where):
-                    spans.append(gram_hashes(sums, least)[where])
-                    owner.append(np.full(len(where), th, np.int64))
-                    at.append(where.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([_ints(np.concatenate(spans)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(at))], ["span", "th", "pos"])
-
-    spans = texts.select("text", "th", "anchors").mapInArrow(extend, "span bigint, th bigint, pos bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    both = spans.groupBy("span").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("span")
-    after = F.lead("pos").over(Window.partitionBy("th").orderBy("pos")) - F.col("pos")
-    covered = (
-        spans.join(both, "span")
-        .select("th", F.least(F.coalesce(after, F.lit(least)), F.lit(least)).alias("chars"))
+                    different, which = np.unique(gram_hashes(sums, least)[where], return_inverse=True)
+                    for c, v in zip(columns, (th, where.astype(np.int32), which.astype(np.int32), different.view(np.int64)), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["th", "places", "which", "spans"])
+
+    stretches = texts.select("text", "th", "anchors").mapInArrow(extend, "th bigint, places array<int>, which array<int>, spans array<bigint>").persist(StorageLevel.MEMORY_AND_DISK)
+    # nearly all candidates are shared, so only those that are not travel back to their text
+    once = (
+        stretches.select("th", F.posexplode("spans").alias("k", "span"))
+        .groupBy("span")
+        .agg(F.min("th").alias("th"), F.max("th").alias("hi"), F.min("k").alias("k"))
+        .where("th = hi")
         .groupBy("th")
-        .agg(F.sum("chars").alias("chars"))
+        .agg(F.collect_list("k").alias("once"))
     )
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars = []
+            for places, which, once_ in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                at = places.values.to_numpy(zero_copy_only=False)
+                if once_.is_valid:
+                    at = at[~np.isin(which.values.to_numpy(zero_copy_only=False), once_.values.to_numpy(zero_copy_only=False))]
+                chars.append(int(np.minimum(np.diff(at), least).sum()) + least if len(at) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64())], ["th", "chars"])
+
+    covered = stretches.drop("spans").join(once, "th", "left").mapInArrow(cover, "th bigint, chars bigint").where("chars > 0")
     ids = rows.select("id", "th", F.length("text").alias("n"))
     copies = ids.groupBy("th").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("th", F.lit(True).alias("copied"))
     return (
