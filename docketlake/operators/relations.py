@@ -133,3 +133,8 @@ def one_hop(edges: DataFrame, documents: DataFrame, key: str = "tdoc") -> DataFr
     valid = edges_touching(edges.where("classification = 'candidate'"), documents, key)
     ends = valid.select(F.explode(F.array("src", "dst")).alias("tdoc"))
     return documents.select(F.col(key).alias("tdoc")).union(ends).where("tdoc is not null").distinct()
+
+
+def with_previous(edges: DataFrame, previous: DataFrame) -> DataFrame:
+    """Edges together with the valid ones of an earlier run, each once; what only one side has is null on the other."""
+    return unique_edges(edges.unionByName(previous.where("classification = 'candidate'"), allowMissingColumns=True))

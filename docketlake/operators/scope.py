@@ -7,8 +7,10 @@ work, they never shorten it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,25 +140,63 @@ def stage(tasks: DataFrame, name: str) -> DataFrame:
     return tasks.join(F.broadcast(least), F.col("priority") == F.col("_least")).drop("_least")
 
 
-def batches(tasks: DataFrame, size: int, buckets: int = 1024) -> DataFrame:
-    """Adds batch_no in the order (priority, tdoc).
+def positions(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Adds each row's place, from 0, in an order of all rows.
 
-    Positions come from a range-partitioned sort and the sizes of its ranges, not from one
-    window over all rows.
+    Places come from a range-partitioned sort and the sizes of its ranges, not from one
+    window over all rows. Rows that are equal in ``order`` get some order among each other.
     """
+    ranged = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism * 4, *order).withColumn("_part", F.spark_partition_id())
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + place - 1).drop("_part", "_before")
+
+
+def batches(tasks: DataFrame, size: int) -> DataFrame:
+    """Adds batch_no in the order (priority, tdoc)."""
     if size < 1:
         raise QueryError("a batch holds at least one document")
-    ordered = tasks.repartitionByRange(min(buckets, tasks.sparkSession.sparkContext.defaultParallelism * 4), "priority", "tdoc")
-    ordered = ordered.withColumn("_part", F.spark_partition_id())
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row per range
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("priority", "tdoc"))
-    return (
-        ordered.join(F.broadcast(offsets), "_part")
-        .withColumn("batch_no", F.floor((F.col("_before") + place - 1) / size))
-        .drop("_part", "_before")
-    )
+    return positions(tasks, ["priority", "tdoc"], "_at").withColumn("batch_no", F.floor(F.col("_at") / size)).drop("_at")
+
+
+MOST_SPELLINGS = 20_000
+
+
+def company_mentions(records: DataFrame, rid: str, text: Column, register: DataFrame, company_id: str = "company_id", name: str = "name", aliases: str = "aliases") -> DataFrame:
+    """(record_id, company_id): every company whose name or an alias occurs in a record's folded text, as a substring.
+
+    The spellings go to the tasks in blocks of about MOST_SPELLINGS, each as one automaton
+    that finds all of them in a single pass over a text. Null texts mention nobody; blank
+    spellings are left out.
+    """
+    import ahocorasick
+
+    spelled = register.select(F.col(company_id).cast("bigint").alias("c"), F.explode(F.concat(F.array(name), F.coalesce(aliases, F.array().cast("array<string>")))).alias("s"))
+    spelled = spelled.select("c", fold(F.trim("s")).alias("s")).where("s <> ''").distinct()
+    blocks = max(1, -(-spelled.count() // MOST_SPELLINGS))
+    rows = records.select(F.col(rid).cast("bigint").alias("record_id"), fold(text).alias("t")).where("t is not null")
+    out = None
+    for b in range(blocks):
+        part = spelled.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == b) if blocks > 1 else spelled
+        known = records.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])  # about MOST_SPELLINGS rows
+
+        def run(it: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            by_spelling: dict[str, set[int]] = {}
+            for c, s in known.value:
+                by_spelling.setdefault(s, set()).add(c)
+            automaton = ahocorasick.Automaton()
+            for s, cs in by_spelling.items():
+                automaton.add_word(s, cs)
+            automaton.make_automaton()
+            for pdf in it:
+                hits = [(r, c) for r, t in zip(pdf["record_id"], pdf["t"], strict=True) for c in (set().union(*(cs for _, cs in automaton.iter(t))) if by_spelling else ())]
+                yield pd.DataFrame(hits, columns=["record_id", "company_id"])
+
+        found = rows.mapInPandas(run, "record_id bigint, company_id bigint")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
 
 
 def distributions(records: DataFrame, dimensions: dict[str, str]) -> DataFrame:

@@ -17,6 +17,7 @@ from docketlake.functions.text import likely_metadata, metadata_priority, tdoc_f
 from docketlake.operators import agenda, coverage, diff, graph, passages, relations, scope
 from docketlake.operators.resolve import resolve_meetings
 from docketlake.operators.scope import Query, QueryError
+from docketlake.schemas import EXPORTS, conform
 from docketlake.session import checkpoint
 from docketlake.sources import cache, office, sinks
 from docketlake.streaming.resume import read_or_none, run_signature
@@ -38,7 +39,7 @@ class Result:
     def write(self, folder: str, form: str = "json") -> None:
         """A directory per table, written in parallel, and the run's counters as one file."""
         for name, t in self.tables.items():
-            sinks.write_rows(t, os.path.join(folder, name), form)
+            sinks.write_rows(conform(t, name) if name in EXPORTS else t, os.path.join(folder, name), form)
         sinks.write_json({"run_signature": self.signature, "stage": self.stage}, os.path.join(folder, "run.json"))
 
 
@@ -69,14 +70,19 @@ def _contents(spark: SparkSession, paths: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "path string, content binary")
 
 
-def preview(spark: SparkSession, meetings: list[str], query: Query) -> Result:
-    """Scope of a query: candidates, edges, distributions, coverage; bodies are not read."""
+def preview(spark: SparkSession, meetings: list[str], query: Query, previous: DataFrame | None = None) -> Result:
+    """Scope of a query: candidates, edges, distributions, coverage; bodies are not read.
+
+    Valid edges of a previous run (relationships) enlarge the scope.
+    """
     if missing := [m for m in meetings if "://" not in m and not os.path.isdir(m)]:
         empty = spark.createDataFrame([(m, "unresolved") for m in missing], "input string, status string")
         return Result({"meetings": empty}, run_signature(meetings, query.text, list(query.companies), list(query.tdocs)), blocked=True)
     files = _files(spark, meetings)
     records = checkpoint(read_metadata(spark, files))
     edges = checkpoint(relations.unique_edges(relations.classify(relations.agenda_edges(records), relations.invalid_sources(records))))
+    if previous is not None:
+        edges = checkpoint(relations.with_previous(edges, previous))
     hits = checkpoint(scope.direct_matches(records, query))
     asked = spark.createDataFrame([(t,) for t in query.tdocs], "tdoc string")
     related = relations.one_hop(edges, hits.select("tdoc").union(asked))
@@ -99,7 +105,7 @@ def _parsed(spark: SparkSession, sources: DataFrame, cache_dir: str | None) -> D
     return cache.cached_parse(files, cache_dir, office.parse_files_keyed) if cache_dir else office.parse_files(files)
 
 
-def collect(spark: SparkSession, meetings: list[str], query: Query, stage: str = "core", cache_dir: str | None = None, mode: str = "topic") -> Result:
+def collect(spark: SparkSession, meetings: list[str], query: Query, stage: str = "core", cache_dir: str | None = None, mode: str = "topic", previous: DataFrame | None = None) -> Result:
     """The preview with the bodies of its documents: index, evidence, edges, diffs, documents, coverage.
 
     In stage complete the bodies' own edges are followed to documents that have a file,
@@ -107,7 +113,7 @@ def collect(spark: SparkSession, meetings: list[str], query: Query, stage: str =
     """
     if stage not in ("core", "complete"):
         raise QueryError(f"no such stage: {stage}")
-    run = preview(spark, meetings, query)
+    run = preview(spark, meetings, query, previous)
     if run.blocked:
         return run
     t = run.tables

@@ -290,6 +290,29 @@ def excerpts(spark, d):
     return _index(spark, d).select("para_id", text.excerpt(F.col("text"), r"(?i)\bTS [0-9.]+[0-9]", 40).alias("excerpt")).where("excerpt is not null")
 
 
+def manifest_order(spark, d):
+    """Place of every manifest entry in the order (priority, tdoc, source, entry_id)."""
+    m = table(spark, d, "manifest").dropDuplicates(["entry_id"]).select("entry_id", "priority", "tdoc", "source")
+    return scope.positions(m, ["priority", "tdoc", "source", "entry_id"]).select("entry_id", "position")
+
+
+def first_evidence(spark, d):
+    """When the first evidence of a document was matched, and how much there is."""
+    return table(spark, d, "evidence").groupBy("tdoc").agg(F.min("matched_at").alias("first_matched_at"), F.count_distinct("evidence_id").alias("items")).select("tdoc", F.date_format("first_matched_at", "yyyy-MM-dd HH:mm:ss").alias("first_matched_at"), "items")
+
+
+def resumed_scope(spark, d):
+    """The scope when the stored relationships of an earlier run are known too."""
+    hits = scope.direct_matches(_first(spark, d), QUERY)
+    edges = relations.with_previous(_edges(spark, d), _stored_edges(spark, d))
+    return relations.one_hop(edges, hits)
+
+
+def company_mentions(spark, d):
+    hay = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in scope.FIELDS))
+    return scope.company_mentions(_agenda(spark, d), "row_id", hay, table(spark, d, "companies"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -297,6 +320,6 @@ QUERIES = {
         document_lines, context_window, section_carry, match_score, company_scope, seed_scope, scoped_records, task_priority, core_stage, task_batches, task_sources,
         distributions, run_coverage, closure_depth, query_terms, paragraph_diff, unique_relationships, source_parts, source_candidates, circuit_breaker,
         router_counters, adaptive_window, cache_decisions, resume_anti, run_signatures, calendar_order, month_match, meeting_ties, resolved_meetings,
-        meeting_descriptors, page_links, excerpts,
+        meeting_descriptors, page_links, excerpts, manifest_order, first_evidence, resumed_scope, company_mentions,
     )
 }

@@ -147,6 +147,15 @@ SELECT 'https://docs.example.org/ftp/' || grp || '/index.htm' AS url, row_number
 SELECT *, cache_hits * 1000 // documents AS cache_hit_permille, CASE WHEN missing + failed > 0 THEN 'partial' ELSE 'no_known_gaps' END AS completeness,
 concat_ws(' ', CASE WHEN missing > 0 THEN missing || ' documents have no file.' END, CASE WHEN failed > 0 THEN failed || ' documents could not be fetched.' END,
   CASE WHEN source_fallbacks > 0 THEN source_fallbacks || ' documents came from another source.' END, CASE WHEN documents > processed + missing + failed THEN 'Some documents were listed but not read.' END) AS warnings FROM c""",
+    "manifest_order": """SELECT entry_id, row_number() OVER (ORDER BY priority NULLS FIRST, tdoc NULLS FIRST, source NULLS FIRST, entry_id) - 1 AS position
+FROM (SELECT DISTINCT entry_id, priority, tdoc, source FROM manifest)""",
+    "first_evidence": "SELECT tdoc, strftime(min(matched_at), '%Y-%m-%d %H:%M:%S') AS first_matched_at, count(DISTINCT evidence_id) AS items FROM evidence GROUP BY tdoc",
+    "resumed_scope": f"""WITH {_A}, {_E}, {_R}, hits AS (SELECT tdoc FROM first_rows WHERE {_score(QUERY)} > 0),
+every AS (SELECT src, dst FROM e WHERE classification = 'candidate' UNION SELECT src, dst FROM r WHERE classification = 'candidate'),
+touched AS (SELECT src, dst FROM every WHERE src IN (SELECT tdoc FROM hits) OR dst IN (SELECT tdoc FROM hits))
+SELECT tdoc FROM (SELECT tdoc FROM hits UNION SELECT src FROM touched UNION SELECT dst FROM touched) WHERE tdoc IS NOT NULL""",
+    "company_mentions": f"""WITH {_A}, s AS (SELECT DISTINCT company_id, {_fold("trim(unnest(list_concat([name], coalesce(aliases, []))))")} AS s FROM companies)
+SELECT DISTINCT row_id AS record_id, company_id FROM a JOIN s ON contains({_HAY}, s.s) WHERE s.s <> ''""",
     "excerpts": rf"""WITH p AS (SELECT DISTINCT para_id, text, regexp_extract(text, '(?i)\bTS [0-9.]+[0-9]') AS m FROM document_index),
 q AS (SELECT para_id, text, m, strpos(text, m) AS at_pos FROM p WHERE m <> '')
 SELECT para_id, trim(regexp_replace(substr(text, greatest(1, at_pos - 40), at_pos + length(m) + 40 - greatest(1, at_pos - 40)), '{_SPACE}', ' ', 'g')) AS excerpt FROM q""",

@@ -134,6 +134,18 @@ def fetch(source: str, folder: str, retries: int = 3, refresh: bool = False, sle
     return t
 
 
+def fetch_first(candidates: list[str], folder: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[Transfer, list[Transfer]]:
+    """The first candidate that succeeds, and the log of all that were tried; the last failure if none does."""
+    log: list[Transfer] = []
+    for source in candidates:
+        log.append(fetch(source, folder, retries, sleep=sleep))
+        if log[-1].state != "fetch_error":
+            break
+    if not log:
+        raise ValueError("no candidate")
+    return log[-1], log
+
+
 def fetch_all(tasks: DataFrame, folder: str, concurrency: int, retries: int = 3) -> DataFrame:
     """The transfer log of tasks (source); ``concurrency`` partitions fetch at a time, folder is shared by all executors."""
 

@@ -264,6 +264,45 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).drop("content")
 
 
+def directory_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, is_folder, n): what a folder holds, in caseless order, folders with a slash; n counts from 0."""
+    depth = F.lit(folder.rstrip("/") + "/")
+    below = F.regexp_replace(F.col("path"), r"^file:/+", "/")
+    files = list_files(spark, folder).select(F.when(below.startswith(depth), F.substr(below, F.length(depth) + 1)).alias("rel")).where("rel is not null")
+    first = F.substring_index("rel", "/", 1)
+    names = files.select(F.concat(first, F.when(F.col("rel").contains("/"), "/").otherwise("")).alias("name")).distinct()
+    ranked = names.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "name"))).alias("all"))  # one folder's entries
+    return ranked.select(F.posexplode("all").alias("n", "e")).select("e.name", F.col("e.name").endswith("/").alias("is_folder"), F.col("n").cast("bigint").alias("n"))
+
+
+def save_members(parsed_sources: DataFrame, out: str) -> DataFrame:
+    """(path, inner_file, saved_path): members of archives (path, content, tdoc) written below out/tdoc/ under their full inner path.
+
+    out is a folder that all executors share.
+    """
+    import os
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            saved = []
+            for path, content, tdoc in zip(pdf["path"], pdf["content"], pdf["tdoc"], strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(bytes(content or b"")))
+                except zipfile.BadZipFile:
+                    continue
+                with archive:
+                    for info, name in safe_members(archive):
+                        target = os.path.join(out, re.sub(r"[^A-Za-z0-9._-]+", "_", tdoc or "item"), *(p for p in name.split("/") if p not in ("", ".")))
+                        os.makedirs(os.path.dirname(target), exist_ok=True)
+                        with open(f"{target}.part", "wb") as f:
+                            f.write(archive.read(info))
+                        os.replace(f"{target}.part", target)
+                        saved.append((path, name, target))
+            yield pd.DataFrame(saved, columns=["path", "inner_file", "saved_path"])
+
+    return parsed_sources.select("path", "content", "tdoc").mapInPandas(run, "path string, inner_file string, saved_path string")
+
+
 def read_files(spark: SparkSession, folder: str, paths: DataFrame | None = None, skip: tuple[str, ...] = ("/inbox/", "/_older/")) -> DataFrame:
     """(path, content) below a folder, only of ``paths`` (path) if given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
