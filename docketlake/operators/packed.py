@@ -188,8 +188,9 @@ def infer_delimiters(cells: DataFrame, prior: dict[str, tuple[str, ...]] = SEPAR
 
 def legal_forms(companies: DataFrame, name: str = "name") -> tuple[str, ...]:
     """Those of LEGAL_FORMS that end a name, without full stops."""
-    last = F.upper(F.regexp_replace(F.regexp_extract(F.col(name), r"(\S+)\s*$", 1), r"\.", ""))
-    before = F.upper(F.regexp_replace(F.regexp_extract(F.col(name), r"(\S+),\s*\S+\s*$", 1), r"\.", ""))
+    end = F.right(F.rtrim(F.col(name)), F.lit(64))  # room for two legal forms
+    last = F.upper(F.regexp_replace(F.regexp_extract(end, r"(\S+)$", 1), r"\.", ""))
+    before = F.upper(F.regexp_replace(F.regexp_extract(end, r"(\S+),\s*\S+$", 1), r"\.", ""))
     ends = companies.select(F.explode(F.array(last, before)).alias("e")).where(F.col("e").isin([f.upper() for f in LEGAL_FORMS])).distinct()
     found = {r.e for r in ends.collect()}  # at most len(LEGAL_FORMS) rows
     return tuple(f for f in LEGAL_FORMS if f.upper() in found)

@@ -1,0 +1,20 @@
+"""Every core query on empty tables and on odd rows."""
+
+import pytest
+from edge_tables import write
+
+from docketlake.plans import registry
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    return [write(spark, str(tmp_path_factory.mktemp(n)), odd) for n, odd in (("empty", False), ("odd", True))]
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query(spark, folders, name):
+    empty, odd = (registry.QUERIES[name](spark, f) for f in folders)
+    assert empty.columns == odd.columns and empty.count() == 0
+    rows = [tuple(map(str, r)) for r in odd.collect()]
+    if name.endswith("_found"):
+        assert len(rows) == len(set(rows))
