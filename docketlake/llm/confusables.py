@@ -28,7 +28,8 @@ from docketlake.functions.charforms import CYRILLIC_LATIN, GREEK_LATIN, LATIN_OF
 from docketlake.session import table
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
-_WORD = re.compile("[\\w\u0300-\u036f]*[\u0370-\u03ff\u0400-\u052f][\\w\u0300-\u036f]*")
+_WORD = re.compile("[\\w\u0300-\u036f]+")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 
 
 @lru_cache(None)
@@ -85,7 +86,8 @@ def consistent_form(text: str | None) -> str | None:
     s = text.translate(form_map())
     if not s.isascii():
         s = unicodedata.normalize("NFC", s)
-        s = _WORD.sub(lambda m: _respelled(m[0]), s)
+        if _FOREIGN.search(s):
+            s = _WORD.sub(lambda m: _respelled(m[0]) if _FOREIGN.search(m[0]) else m[0], s)
     return s.strip()
 
 

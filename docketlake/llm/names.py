@@ -45,6 +45,7 @@ class Trie:
 
     def __init__(self, words: list[str]):
         self.words, self.root = words, {}
+        self.longest = max(map(len, words), default=0)
         for i, w in enumerate(words):
             node = self.root
             for ch in w:
@@ -54,6 +55,8 @@ class Trie:
     def near(self, word: str, bound: int) -> dict[str, int]:
         """Words within ``bound`` edits. The automaton's state is the band of a row; dead states end a branch."""
         n, found = len(word), {}
+        if n > self.longest + bound:
+            return found  # no word is near enough
         first = tuple(range(n + 1))
         stack = [(self.root, first, None, "")]
         while stack:
