@@ -1,11 +1,12 @@
 """Several values packed in one cell: find a field's delimiters, split, keep the position.
 
-The delimiters of a field are inferred from all its cells. Every candidate is scored
+The documented separators of a field always hold; further ones are inferred from its
+different cells, so that copies of a cell weigh nothing. Every candidate is scored
 over the cells in which it is the only candidate: *piece type regularity* is the share
 of its pieces whose shape (letters lowered, numbers, ids and quoted parts masked) also
 occurs as a whole cell without any candidate; *piece-count consistency* is the chance
-that two of its cells have the same number of pieces. A prior of ``PRIOR_CELLS`` pieces
-carries the field's documented separators over small samples.
+that two of its cells have the same number of pieces. ``PRIOR_CELLS`` pieces without a
+known shape are added, so that a small sample proves nothing.
 
 Defined results: null and blank cells give no value; empty pieces are dropped and not
 counted; an opening quote or bracket without its end is an ordinary character; repeated
@@ -156,8 +157,8 @@ def _evidence(batches: Iterator[pd.DataFrame], legal: tuple[str, ...]) -> Iterat
 
 
 def delimiter_scores(cells: DataFrame, legal: tuple[str, ...] = ()) -> DataFrame:
-    """(field, delim, regularity, consistency, cells) for cells with (field, cell); a row per candidate seen."""
-    seen = cells.mapInPandas(lambda it: _evidence(it, legal), "field string, delim string, pieces int, shape string, n long")
+    """(field, delim, n, hits, cells, consistency) over the different cells of (field, cell); a row per candidate seen."""
+    seen = cells.select("field", "cell").distinct().mapInPandas(lambda it: _evidence(it, legal), "field string, delim string, pieces int, shape string, n long")
     per_shape = seen.groupBy("field", "shape", "delim", "pieces").agg(F.sum("n").alias("n"))
     whole = per_shape.where("delim = ''").select("field", "shape", F.lit(True).alias("known"))
     pieces = per_shape.where("delim <> ''").join(whole, ["field", "shape"], "left")
@@ -171,7 +172,7 @@ def delimiter_scores(cells: DataFrame, legal: tuple[str, ...] = ()) -> DataFrame
 
 
 def infer_delimiters(cells: DataFrame, prior: dict[str, tuple[str, ...]] = SEPARATORS, legal: tuple[str, ...] = ()) -> dict[str, tuple[str, ...]]:
-    """Field -> its delimiters. At most one row per field and candidate comes to the driver."""
+    """Field -> its delimiters: the documented ones and those inferred. At most one row per field and candidate comes to the driver."""
     scores = {(r.field, r.delim): r for r in delimiter_scores(cells, legal).collect()}
     out = {}
     for field, known in prior.items():
@@ -179,8 +180,7 @@ def infer_delimiters(cells: DataFrame, prior: dict[str, tuple[str, ...]] = SEPAR
         for d in CANDIDATES:
             r = scores.get((field, d))
             hits, n, same = (r.hits, r.n, r.consistency) if r else (0, 0, 0)
-            regular = (hits + PRIOR_CELLS * (d in known)) / (n + PRIOR_CELLS)
-            if regular * (0.75 + 0.25 * same) >= LEAST_SCORE:
+            if d in known or hits / (n + PRIOR_CELLS) * (0.75 + 0.25 * same) >= LEAST_SCORE:
                 keep.append(d)
         out[field] = tuple(keep)
     return out
@@ -215,7 +215,7 @@ def agenda_values(spark, sf_dir: str, fields: tuple[str, ...] = ("source", "comm
     """(row_id, field, pos, value, values) of every cell; values: how many the cell holds."""
     legal = legal_forms(table(spark, sf_dir, "companies"))
     raw = table(spark, sf_dir, "agenda")
-    # scores need no row identity: equal cells only weigh more, so no shuffle of the cells
+    # scores need no row identity: equal cells meet map-side
     cells = raw.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields))).alias("c")).select("c.*").where("trim(cell) <> ''")
     delims = infer_delimiters(cells, {f: SEPARATORS[f] for f in fields}, legal)
     out = None

@@ -80,6 +80,13 @@ def test_delimiters_are_inferred(spark):
     assert packed.infer_delimiters(df.where("false"), {"f": (",", "|")}) == {"f": (",", "|")}
 
 
+def test_hot_cell_removes_and_adds_no_delimiter(spark):
+    cells = [("Name1 Inc",), ("x",), ("y",)] + [("odd one | odd two",)] * 500 + [("x = y",)] * 500 + [(f"Name{i} Inc; Name{i + 1} Inc",) for i in range(20)]
+    df = spark.createDataFrame(cells, "cell string").withColumn("field", F.lit("f"))
+    assert packed.infer_delimiters(df, {"f": (";", "|")}) == {"f": (";", "|")}
+    assert {r.delim: r.n for r in packed.delimiter_scores(df).collect()} == {";": 40, "|": 2, "=": 2}
+
+
 def test_p2_counts_repeated_rows_once(spark, tmp_path):
     spark.createDataFrame([(1, "A; B", None), (1, "A; B", None), (2, None, "x // y"), (3, "", " ")], "row_id bigint, source string, comments string").write.parquet(str(tmp_path / "agenda.parquet"))
     spark.createDataFrame([("A Ltd.",)], "name string").write.parquet(str(tmp_path / "companies.parquet"))
