@@ -1,16 +1,14 @@
 """Near-duplicate records with small edits, by pigeonhole blocks over fingerprints.
 
-A record's fingerprint is a list of blocks, one for each of its ``BLOCKS`` rarest words
-(short records use a word several times, with other functions): the word and the
-``PER_BLOCK`` least hashes of the record's words under functions drawn from that word.
-Edits that leave a word similarity J touch few blocks, so a close pair shares one: two
-records of J = 0.7 have about 0.8 of these words in common and each such block agrees with
-probability J^2, so that none does has a probability of 1e-3 to 1e-5; at J = 0.8 it is
-below 1e-6. Records that share a block are compared by a second fingerprint of ``BITS``
-bits (Hamming distance at most ``MOST_BITS``; a pair at J = 0.7 is beyond it with less than
-1e-4). An exact check of the word sets follows, so no false pair remains. Rarity comes
-from a count-min sketch of fixed size over all records. All parameters are the same at
-every size, and nothing is capped.
+A record's fingerprint is a list of ``BLOCKS`` blocks, each of the least hashes of its
+words under ``PER_BLOCK`` functions. All words of a record take part alike, so that no kind
+of edit (new ids, typos, names, however rare) can take the blocks from the words that are
+left: whatever the edits are, two records of word similarity J share a block but with
+probability (1 - J^PER_BLOCK)^BLOCKS, 4.2e-5 at J = 0.7, 3e-8 at J = 0.8. Records that
+share a block are compared by a second fingerprint of ``BITS`` bits, one of the least hash
+under each function (Hamming distance at most ``MOST_BITS``; a pair at J = 0.7 is beyond it
+with less than 2e-5). An exact check of the word sets follows, so no false pair remains.
+All parameters are the same at every size, and nothing is capped.
 
 Texts are split into words once; the sets (32-bit hashes, so two different words of a pair
 are taken for one with a probability below 1e-6) are kept by class: records with the same
@@ -35,11 +33,10 @@ from pyspark.sql import functions as F
 from docketlake.llm.confusables import consistent_form
 from docketlake.session import spread, table
 
-BLOCKS = 20
-PER_BLOCK = 2
+BLOCKS = 24
+PER_BLOCK = 3
 BITS = 192
-MOST_BITS = 49
-SKETCH_ROWS, SKETCH_WIDTH = 3, 1 << 16
+MOST_BITS = 51
 ROWS_AT_ONCE = 2000
 _WORD = re.compile(r"[^\W_]+")
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -88,77 +85,37 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes.view(np.int64)), lists], ["id", "class", "words"])
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    """The sketch cell of each word in each row of the sketch."""
-    return np.stack([(_mix(hashes + _TIMES[r + 2]) >> np.uint64(40)) % np.uint64(SKETCH_WIDTH) for r in range(SKETCH_ROWS)]).astype(np.int64)
-
-
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The values of all lists, and the length of each."""
     return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), np.diff(lists.offsets.to_numpy())
 
 
-def count_words(sets: DataFrame) -> np.ndarray:
-    """Count-min sketch of how many records hold a word; SKETCH_ROWS * SKETCH_WIDTH counters whatever the input."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64)
-        for batch in batches:
-            hashes, n = np.unique(_flat(batch.column(0))[0], return_counts=True)
-            for row, cells in zip(sketch, _cells(hashes), strict=True):
-                np.add.at(row, cells, n)
-        at = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sketch.ravel()[at])], ["cell", "n"])
-
-    got = sets.select("words").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(SKETCH_ROWS * SKETCH_WIDTH, np.int64)
-    sketch[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return sketch.reshape(SKETCH_ROWS, SKETCH_WIDTH)
-
-
-def fingerprints(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record of each block, block key, bits of each record) of word sets laid end to end; no set is empty."""
+def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block keys, bits) of word sets laid end to end, a row per record; no set is empty."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    record = np.repeat(np.arange(len(sizes)), sizes)
     known, back = np.unique(hashes, return_inverse=True)
-    common = np.min([row[c] for row, c in zip(sketch, _cells(known), strict=True)], axis=0)
+    keys = np.repeat(_TIMES[1 : BLOCKS + 1][None, :], len(sizes), axis=0)
     bits = np.zeros((len(sizes), BITS), np.uint8)
     for j in range(BITS):
         values = (_mix((known + _TIMES[1]) * _BIT_SEEDS[j] ^ _BIT_SEEDS[j]) >> np.uint64(32)).astype(np.uint32)
-        bits[:, j] = np.minimum.reduceat(values[back], starts) & np.uint32(1)
-    order = np.lexsort((hashes, common[back], record))
-    place = np.arange(len(hashes)) - np.repeat(starts, sizes)
-    rounds = np.maximum(1, (BLOCKS / sizes + 0.5).astype(np.int64))
-    records, keys = [], []
-    mixed = hashes * _C2
-    for r in range(int(rounds.max())):
-        chosen = order[(place < BLOCKS) & (rounds[record] > r)]  # order keeps the records' ranges, so place and record hold for it
-        own = record[chosen]
-        spans = sizes[own]
-        first = np.concatenate([[0], np.cumsum(spans)[:-1]])
-        others = np.arange(spans.sum()) - np.repeat(first - starts[own], spans)
-        key = word = _mix(hashes[chosen] + _TIMES[r + 5])
-        for j in range(PER_BLOCK):
-            seeds = _mix(word + _TIMES[j + 1])
-            low = np.minimum.reduceat(_mix(np.repeat(seeds, spans) ^ mixed[others]), first)
-            key = _mix(key * _C1 ^ low)
-        records.append(own)
-        keys.append(key)
-    return np.concatenate(records), np.concatenate(keys), np.packbits(bits, axis=1).view(np.int64)
-
-
-def _block_rows(shared) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "class", *(f"bits{i}" for i in range(BITS // 64))]
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                hashes, sizes = _flat(batch.column(1))
-                own, keys, bits = fingerprints(hashes, sizes, shared.value)
-                columns = [keys.view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[own], *bits[own].T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
-
-    return run
+        low = np.minimum.reduceat(values[back], starts)
+        bits[:, j] = low & np.uint32(1)
+        if j < BLOCKS * PER_BLOCK:
+            at = j // PER_BLOCK
+            keys[:, at] = _mix(keys[:, at] * _C1 ^ low.astype(np.uint64))
+    return keys, np.packbits(bits, axis=1).view(np.int64)
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, words) to (block, class, bits), a row per block."""
+    names = ["block", "class", *(f"bits{i}" for i in range(BITS // 64))]
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            keys, bits = fingerprints(*_flat(batch.column(1)))
+            own = np.repeat(np.arange(len(keys)), BLOCKS)
+            columns = [keys.ravel().view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[own], *bits[own].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
 
 def near_duplicates(records: DataFrame, rid: str, text: str, tenths: int = 7) -> DataFrame:
@@ -166,12 +123,11 @@ def near_duplicates(records: DataFrame, rid: str, text: str, tenths: int = 7) ->
     rows = spread(records.select(F.col(rid).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null"))
     # kept for all that follows; a lost part is computed again from its rows. Copies meet map-side, so a hot class is a row per task
     members = rows.mapInArrow(_word_sets, "id bigint, class bigint, words array<int>").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = records.sparkSession.sparkContext.broadcast(count_words(members))
     classes = members.groupBy("class").agg(F.first("words").alias("words")).persist(StorageLevel.MEMORY_AND_DISK)
     longs = range(BITS // 64)
     schema = "block bigint, class bigint, " + ", ".join(f"bits{i} bigint" for i in longs)
     # kept for both sides of the join, which would otherwise compute and shuffle the blocks twice
-    blocks = classes.mapInArrow(_block_rows(shared), schema).repartition("block").persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = classes.mapInArrow(_block_rows, schema).repartition("block").persist(StorageLevel.MEMORY_AND_DISK)
     a, b = (blocks.select("block", F.col("class").alias(f"class_{s}"), *(F.col(f"bits{i}").alias(f"bits{i}_{s}") for i in longs)) for s in "ab")
     far = sum((F.bit_count(F.col(f"bits{i}_a").bitwiseXOR(F.col(f"bits{i}_b"))) for i in longs), F.lit(0))
     near = a.join(b, "block").where((F.col("class_a") < F.col("class_b")) & (far <= MOST_BITS)).select("class_a", "class_b").distinct()

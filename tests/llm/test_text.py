@@ -161,6 +161,21 @@ def test_near_duplicates_by_brute_force(spark, rows):
     assert neardup.near_duplicates(table(spark, []), "id", "t").count() == 0
 
 
+def test_rare_edits_hide_no_near_duplicate(spark, rows):
+    common = [f"c{i}" for i in range(400)]
+    data, want = [], []
+    for n in range(0, 60, 2):  # 25 words that occur nowhere else, or only in two records
+        base = random.Random(n).sample(common, 60)
+        new = [f"new{n}x{i}" for i in range(25)]
+        data += [(n, " ".join(base)), (n + 1, " ".join(base + new)), (1000 + n, " ".join(new))]
+        want.append((n, n + 1))
+    for n in range(60, 120, 2):  # 15 rare words on each side
+        base = random.Random(n).sample(common, 75)
+        data += [(n + k, " ".join(base + [f"new{n + k}x{i}" for i in range(15)])) for k in (0, 1)]
+        want.append((n, n + 1))
+    assert rows(neardup.near_duplicates(table(spark, data), "id", "t")) == sorted(want, key=repr) == sorted(brute_near(data), key=repr)
+
+
 # --- garbled text
 
 CLEAN = ["L’étape générale – “déjà” vérifiée à Zürnau, 5 µs ≥ 4 °C", "Größe der Überwachung hängt ab", "Вопрос передаёт область сервера", "建议在第用户面节中用计费记录替换会话。", "SÃO PAULO, ÂNGULO"]
