@@ -9,8 +9,9 @@ frequencies; what it proposes, and what fits around wildcards, is weighed by the
 word frequencies: a reading wins if it is clearly likelier than the word as it stands.
 The search is repeated up to three times for text garbled more than once.
 
-Counts cover all documents. Words are counted map-side first; candidate readings meet the
-word counts in joins, so only the character counts (at most one row per Unicode character)
+Counts cover all documents. A text counts once, so that copies of it carry no extra
+weight; the rows that hold a word only decide about wildcards and letters of another encoding where the distinct texts do not contradict.
+Texts meet by hash map-side first; candidate readings meet the word counts in joins, so only the character counts (at most one row per Unicode character)
 come to the driver.
 
 Defined results: null and empty texts are sound; U+FFFD and C1 controls (but for a lone
@@ -70,7 +71,7 @@ def _expected(byte: int) -> int:
 class Channel:
     """Readings of words under the character frequencies of a corpus of ``docs`` words."""
 
-    def __init__(self, char_counts: dict[str, int]):
+    def __init__(self, char_counts: dict[str, float]):
         self.total = sum(char_counts.values()) + 1
         self.floor = math.log(0.5 / self.total)
         self.logp = {c: math.log(n / self.total) for c, n in char_counts.items()}
@@ -82,8 +83,8 @@ class Channel:
             return known
         return self.floor - (0.0 if USUAL.match(ch) else 2.0 if WIDE.match(ch) else 12.0)
 
-    def _path(self, run: str, codec: str) -> tuple[float, str]:
-        """Viterbi over one run of characters beyond ASCII: (gain over the run as it stands, reading)."""
+    def _path(self, run: str, codec: str, utf8: bool = True) -> tuple[float, str]:
+        """Viterbi over one run of characters beyond ASCII: (gain over the run as it stands, reading); without ``utf8`` by pairs only."""
         table_ = byte_chars(codec)
         codes = [table_.get(c, -1) for c in run]
         n = len(run)
@@ -96,7 +97,7 @@ class Channel:
             edges = [(1, run[i], 0.0)]
             if codes[i] >= 0:
                 size = _expected(codes[i])
-                if size and i + size <= n and all(0x80 <= c < 0xC0 for c in codes[i + 1 : i + size]):
+                if utf8 and size and i + size <= n and all(0x80 <= c < 0xC0 for c in codes[i + 1 : i + size]):
                     try:
                         ch = bytes(codes[i : i + size]).decode("utf-8")
                         edges.append((size, ch, self.p(ch) - sum(map(self.p, run[i : i + size]))))
@@ -150,6 +151,12 @@ class Channel:
         gain, reading = self.decode(word)
         if gain > 0 and reading != word:
             out.append(("read", reading, gain))
+        if WIDE.search(reading):
+            # a common UTF-8 sequence may have displaced a rare pair: word counts decide
+            runs = [self._path(r, "latin-1", utf8=False) for r in _BEYOND.findall(word)]
+            pairs = _BEYOND.sub(lambda m, it=iter(runs): next(it)[1], word)
+            if pairs not in (word, reading) and (more := sum(g for g, _ in runs)) > 0:
+                out.append(("read", pairs, more))
         left = reading if gain > CLEARLY else word
         if _DAMAGE.search(left) or any(c in LOST_LEADS for c in left):
             if len(left) > 1 or left == "â":
@@ -216,63 +223,76 @@ def odd_words(text: str) -> list[str]:
     return [] if text.isascii() else [w for w in text.translate(_BREAKS).split(" ") if not w.isascii()]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, words, counts, copies); texts without such words are left out."""
     for batch in batches:
-        found: Counter = Counter()
-        for t in batch.column(0).to_pylist():
-            found.update(odd_words(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        found: dict[int, list] = {}
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k in found:
+                found[k][1] += 1
+            elif odd := odd_words(t):
+                found[k] = [Counter(odd), 1]
+        columns = [pa.array(list(found), pa.int64()), pa.array([list(w) for w, _ in found.values()], pa.list_(pa.string())), pa.array([list(w.values()) for w, _ in found.values()], pa.list_(pa.int64())), pa.array([n for _, n in found.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "words", "counts", "copies"])
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n) of all words with a character beyond ASCII."""
-    some = spread(docs.select(text).where(F.col(text).isNotNull()))
-    return some.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n, rows) of all words with a character beyond ASCII: how often it is in distinct texts, and how many rows hold it."""
+    some = spread(docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where("text is not null"))
+    texts = some.mapInArrow(_text_words, "key bigint, words array<string>, counts array<bigint>, copies bigint")
+    texts = texts.groupBy("key").agg(F.first(F.arrays_zip("words", "counts")).alias("found"), F.sum("copies").alias("copies"))
+    return texts.select("copies", F.inline("found")).groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"), F.sum("copies").alias("rows"))
 
 
-def char_counts(words: DataFrame) -> dict[str, int]:
-    """Character -> how many words (with their counts) hold it; at most a row per Unicode character."""
+def char_counts(words: DataFrame) -> dict[str, float]:
+    """Character -> how many words (with their counts) hold it; at most a row per Unicode character.
+
+    Rows break ties between equal counts: all rows together add less than one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found, held = Counter(), Counter()
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for w, n, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for c in set(w):
                     if ord(c) > 127:
                         found[ord(c)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.int32()), pa.array(list(found.values()), pa.int64())], ["c", "n"])
+                        held[ord(c)] += rows
+        columns = [pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64()), pa.array([held[c] for c in found], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["c", "n", "rows"])
 
-    rows = words.select("word", "n").mapInArrow(run, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    return {chr(r.c): r.n for r in rows}
+    counts = words.select("word", "n", "rows").mapInArrow(run, "c int, n bigint, rows bigint").groupBy("c").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect()
+    total = sum(r.rows for r in counts) + 1
+    return {chr(r.c): r.n + r.rows / total for r in counts}
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(word, fixed) of the garbled ones among (word, n); fixed is null where nothing fits."""
+    """(word, fixed) of the garbled ones among (word, n, rows); fixed is null where nothing fits."""
     counts = (uuid4().hex, words.sparkSession.sparkContext.broadcast(char_counts(words)))
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         channel = _channel(counts)
         for pdf in batches:
-            rows = [(w, n, *r) for w, n in zip(pdf["word"], pdf["n"], strict=True) for r in channel.readings(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "kind", "key", "gain"])
+            rows = [(w, n, m, *r) for w, n, m in zip(pdf["word"], pdf["n"], pdf["rows"], strict=True) for r in channel.readings(w)]
+            yield pd.DataFrame(rows, columns=["word", "n", "rows", "kind", "key", "gain"])
 
-    offers = checkpoint(even(words).mapInPandas(propose, "word string, n long, kind string, key string, gain double"))
-    known = words.select(F.col("word").alias("key"), F.col("n").alias("seen"))
+    offers = checkpoint(even(words).mapInPandas(propose, "word string, n long, rows long, kind string, key string, gain double"))
+    known = words.select(F.col("word").alias("key"), F.col("n").alias("seen"), F.col("rows").alias("seen_rows"))
+    # by distinct texts; by rows only where these hold the reading as often
+    often = ((F.col("seen") >= 2) & (F.col("seen") >= 3 * F.col("n"))) | ((F.col("seen") >= F.col("n")) & (F.col("seen_rows") >= 2) & (F.col("seen_rows") >= 3 * F.col("rows")))
     read = (
         offers.where("kind <> 'mask'")
         .join(known, "key", "left")
         .withColumn("seen", F.coalesce("seen", F.lit(0)))
         .where(
-            F.when(F.col("kind") == "read", F.col("gain") + F.log((F.col("seen") + 1) / (F.col("n") + 1)) > CLEARLY).otherwise(
-                (F.col("seen") >= 2) & (F.col("seen") >= 3 * F.col("n"))
-            )
+            F.when(F.col("kind") == "read", F.col("gain") + F.log((F.col("seen") + 1) / (F.col("n") + 1)) > CLEARLY).otherwise(often)
         )
         .select("word", F.col("key").alias("fixed"), F.when(F.col("kind") == "read", F.col("gain")).otherwise(0.0).alias("gain"), "seen")
     )
     # patterns: only sound words with few characters beyond ASCII can fill wildcards
     odd = F.regexp_replace("word", r"[\x00-\x7F]", "")
     fillers = words.where((F.length(odd) <= 6) & ~F.col("word").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).select(
-        F.regexp_replace("word", r"[^\x00-\x7F]+", "�").alias("key"), F.col("word").alias("fixed"), F.col("n").alias("seen")
+        F.regexp_replace("word", r"[^\x00-\x7F]+", "�").alias("key"), F.col("word").alias("fixed"), F.col("n").alias("seen"), F.col("rows").alias("seen_rows")
     )
     fillers = fillers.where((F.length("key") > 1) | (F.length("fixed") == 1))
 
@@ -283,7 +303,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
     filled = (
         offers.where("kind = 'mask'")
         .join(fillers, "key")
-        .where((F.col("seen") >= 2) & (F.col("seen") >= 3 * F.col("n")))
+        .where(often)
         .where(fit("word", "fixed"))
         .select("word", "fixed", (F.col("gain") + 0.5).alias("gain"), "seen")
     )

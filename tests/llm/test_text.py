@@ -213,6 +213,14 @@ def test_garbled_documents_are_restored(spark, corpus, tmp_path):
         assert got[doc] == (text, 0)
 
 
+@pytest.mark.parametrize("garbled", ["prüfen übertragen Gerätegruppe Zürnau".encode().decode("latin-1"), "Вопрос передаёт область сервера".encode("koi8_r").decode("cp1251")])
+def test_copies_of_a_garbled_text_are_found(spark, garbled):
+    sound = [(i, f"{CLEAN[i % 5]} – prüfen wir die Übertragung, übertragen Gerätegruppe {i} für Zürnau") for i in range(200)]
+    copies = [(1000 + i, garbled) for i in range(100)]
+    got = {(r.doc_id, r.word) for r in mojibake.garbled_places(table(spark, sound + copies), "id", "t").collect()}
+    assert got == {(i, w) for i, _ in copies for w in garbled.split(" ")}
+
+
 def test_fits_lost_bytes():
     assert mojibake.fits("operatorâs", "operator’s") and mojibake.fits("GrÃ¶Ãe".replace("Ã¶", "ö"), "Größe")
     assert not mojibake.fits("operatorâs", "operatorés") and mojibake.fits("l��l", "l’él")
