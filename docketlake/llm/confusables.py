@@ -98,7 +98,7 @@ def _form(texts: pd.Series) -> pd.Series:
 
 def look(text: Column) -> Column:
     """consistent_form of a column; plain ASCII stays in the JVM."""
-    return F.when(text.rlike(r"^[\x20-\x7e]*$"), F.trim(text)).otherwise(_form(text))
+    return F.when(text.rlike(r"\A[\x20-\x7e]*\z"), F.trim(text)).otherwise(_form(text))
 
 
 def same_look_pairs(rows: DataFrame, rid: str, text: str) -> DataFrame:

@@ -41,6 +41,13 @@ def test_same_look_pairs(spark, rows):
     assert rows(confusables.same_look_pairs(table(spark, []), "id", "t")) == []
 
 
+def test_line_ends_are_no_part_of_a_form(spark, rows):
+    data = [(i, "abc" + end) for i, end in enumerate(["", "\n", "\r\n", "\x85", "\u2028", "\r"])]
+    got = table(spark, data).select("id", confusables.look(F.col("t")))
+    assert rows(got) == [(i, confusables.consistent_form(t)) for i, t in data] == [(i, "abc") for i, _ in data]
+    assert len(rows(confusables.same_look_pairs(table(spark, data), "id", "t"))) == 15
+
+
 # --- tokens and containers
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary here")
