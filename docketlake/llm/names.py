@@ -8,8 +8,9 @@ initials, short first names and acronyms are further ways for a word to stand fo
 The entry of least cost wins; a tie between entries links nothing.
 
 The register is cut into tries of at most ``TRIE_NAMES`` names; each is broadcast alone
-(its size is bounded) and the best of all tries is kept per value, so a register of any
-size works. Typed values are looked up once per distinct spelling.
+(its size is bounded). Which words are generic is found over the whole register, and of
+every trie all entries that may win or tie are kept per value, so a register of any size
+gives what one trie would. Typed values are looked up once per distinct spelling.
 
 Defined results: null, blank and bracket-only values mean nobody; repeated rows count
 once; with an empty register nothing is linked.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.confusables import consistent_form
 from docketlake.operators.packed import LEGAL_FORMS, agenda_values
-from docketlake.session import even, table
+from docketlake.session import checkpoint, even, table
 
 TRIE_NAMES = 20_000
 MAX_COST = 3.0
@@ -111,30 +112,50 @@ def _shortens(short: str, word: str, generic: bool) -> bool:
     return generic and len(short) > 2 and all(c in it for c in short)
 
 
+def _forms(name: str, kind: str | None, aliases) -> Iterator[tuple[list[str], str, str]]:
+    """(words, legal form, kind) of a name and of its aliases."""
+    for k, form in enumerate([name, *(aliases if aliases is not None else ())]):
+        if form and form.strip():
+            words, legal = clean(form)
+            if words:
+                yield words, legal, "alias" if k else kind or ""
+
+
+def _word_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(entry_id, word, first, proper) for every word of every form; proper: behind the first in a name that counts."""
+    for pdf in batches:
+        rows = [
+            (eid, w, i == 0, i > 0 and kind not in ("alias", "delegate"))
+            for eid, name, k, aliases in zip(pdf["entry_id"], pdf["name"], pdf["kind"], pdf["aliases"], strict=True)
+            for words, _, kind in _forms(name, k, aliases)
+            for i, w in enumerate(words)
+        ]
+        yield pd.DataFrame(rows, columns=["entry_id", "word", "first", "proper"])
+
+
+def with_generic(register: DataFrame) -> DataFrame:
+    """The register with the words of each entry that are generic: never first in a name and shared by more than two entries."""
+    places = register.mapInPandas(_word_places, "entry_id long, word string, first boolean, proper boolean")
+    places = places.groupBy("word", "entry_id").agg(F.max("first").alias("first"), F.max("proper").alias("proper"))
+    generic = places.groupBy("word").agg(F.max("first").alias("first"), F.sum(F.col("proper").cast("int")).alias("n")).where("n > 2 and not first").select("word")
+    own = places.join(generic, "word").groupBy("entry_id").agg(F.collect_list("word").alias("generic"))
+    return register.join(own, "entry_id", "left")
+
+
 class Register:
-    """One trie shard of (entry id, name, kind, aliases)."""
+    """One trie shard of (entry id, name, kind, aliases, generic words of the entry)."""
 
     def __init__(self, entries: list[tuple]):
         self.entries: list[tuple[int, list[str], str, str]] = []  # id, words, legal, kind
-        for eid, name, kind, aliases in entries:
-            for k, form in enumerate([name, *(aliases if aliases is not None else ())]):
-                if form and form.strip():
-                    words, legal = clean(form)
-                    if words:
-                        self.entries.append((eid, words, legal, "alias" if k else kind or ""))
+        self.generic: set[str] = set()
+        for eid, name, kind, aliases, generic in entries:
+            self.entries += [(eid, *form) for form in _forms(name, kind, aliases)]
+            self.generic.update(generic or ())
         holders = defaultdict(set)
         for i, (_, words, _, _) in enumerate(self.entries):
             for w in words:
                 holders[w].add(i)
         self.holders = holders
-        proper = [e for e in self.entries if e[3] not in ("alias", "delegate")]
-        common = defaultdict(set)
-        for eid, words, _, _ in proper:
-            for w in words[1:]:
-                common[w].add(eid)
-        # words of kind or trade: never first in a name and shared by several entries
-        firsts = {words[0] for _, words, _, _ in self.entries}
-        self.generic = {w for w, ids in common.items() if len(ids) > 2 and w not in firsts}
         self.acronyms = defaultdict(set)
         for eid, words, _, kind in self.entries:
             if len(words) > 2 and kind not in ("alias", "delegate"):
@@ -193,11 +214,11 @@ class Register:
             lay(0, 0, 0.0)
         return best[0]
 
-    def match(self, value: str) -> tuple[int, float] | None:
-        """(entry id, cost) of the one entry that fits best."""
+    def match(self, value: str) -> list[tuple[int, float]]:
+        """(entry id, cost) of the entry that fits best and of those that tie with it."""
         typed, legal = clean(value)
         if not typed:
-            return None
+            return []
         costs: dict[int, float] = {}
 
         def offer(eid: int, cost: float) -> None:
@@ -221,17 +242,15 @@ class Register:
         if len(one) > 2 and one in self.acronyms and (len(typed) == 1 or len(one) == len(typed)):
             for eid in self.acronyms[one]:
                 offer(eid, 0.5)
-        if not costs:
-            return None
-        low = min(costs.values())
-        won = [e for e, c in costs.items() if c <= low + CLEAR]
-        return (won[0], low) if len(won) == 1 else (-1, low)
+        low = min(costs.values(), default=0.0)
+        return [(e, c) for e, c in costs.items() if c <= low + CLEAR]
 
 
 def link_names(values: DataFrame, value: str, register: DataFrame, trie_names: int = TRIE_NAMES) -> DataFrame:
     """(value, entry_id) for every distinct value that means one entry of register(entry_id, name, kind, aliases)."""
     typed = values.select(F.col(value).alias("value")).where("trim(value) <> ''").distinct()
     register = register.select("entry_id", "name", "kind", "aliases").where("entry_id is not null and name is not null").dropDuplicates(["entry_id"])
+    register = checkpoint(with_generic(register))
     blocks = max(1, -(-register.count() // trie_names))
     found = None
     for b in range(blocks):
@@ -242,15 +261,14 @@ def link_names(values: DataFrame, value: str, register: DataFrame, trie_names: i
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             reg = Register(shared.value)
             for pdf in batches:
-                hits = [(v, *m) for v in pdf["value"] if (m := reg.match(v))]
+                hits = [(v, *m) for v in pdf["value"] for m in reg.match(v)]
                 yield pd.DataFrame(hits, columns=["value", "entry_id", "cost"])
 
         part = even(typed).mapInPandas(run, "value string, entry_id long, cost double")
         found = part if found is None else found.unionByName(part)
-    if blocks > 1:
-        best = found.groupBy("value").agg(F.min("cost").alias("low"))
-        found = found.join(best, "value").where("cost = low").groupBy("value").agg(F.min("entry_id").alias("entry_id"), F.max("entry_id").alias("hi")).where("entry_id = hi")
-    return found.where("entry_id >= 0").select("value", "entry_id")
+    # an entry is in one block, so a value's offers are different entries; those close to the best of all blocks tie
+    offers = found.groupBy("value").agg(F.min_by("entry_id", "cost").alias("entry_id"), F.sort_array(F.collect_list("cost")).alias("costs"))
+    return offers.where((F.size("costs") == 1) | (F.col("costs")[1] > F.col("costs")[0] + CLEAR)).select("value", "entry_id")
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,13 @@ def test_register_in_several_tries(spark):
     assert names.link_names(df, "v", register(spark, [])).count() == 0
 
 
+def test_several_tries_link_like_one(spark):
+    df = spark.createDataFrame([(v,) for v in VARIANTS], "v string")
+    for tries in (1, 4):
+        got = {r.value: r.entry_id for r in names.link_names(df, "v", register(spark), trie_names=tries).collect()}
+        assert got == {v: e for v, e in VARIANTS.items() if e}
+
+
 def distance(a, b):
     """Edits, a swap of neighbours counts one."""
     d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
