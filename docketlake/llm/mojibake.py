@@ -160,7 +160,7 @@ class Channel:
         left = reading if gain > CLEARLY else word
         if _DAMAGE.search(left) or any(c in LOST_LEADS for c in left):
             if len(left) > 1 or left == "â":
-                out.append(("mask", mask(left), gain))
+                out += [("mask", key, gain) for key in traces(word, left)]
         if sum(1 for c in word if ord(c) > 127 and c.isalpha()) >= 3:
             seen = {word}
             for wrong in (*ASSUMED, "iso8859_5", "mac_cyrillic"):
@@ -175,7 +175,7 @@ class Channel:
                             seen.add(back)
                             out.append(("alike", back, 0.0))
         if not out and _DAMAGE.search(word):
-            out.append(("mask", mask(word), 0.0))
+            out += [("mask", key, 0.0) for key in traces(word, word)]
         return out
 
 
@@ -184,6 +184,33 @@ def mask(word: str) -> str:
     return _BEYOND.sub("�", word)
 
 
+def _kept(word: str, least: int) -> str:
+    """The UTF-8 bytes of the characters from ``least`` on as Latin-1, without C1 controls."""
+    raw = "".join(c if ord(c) < least else c.encode("utf-8", "surrogatepass").decode("latin-1") for c in word)
+    return "".join(c for c in raw if not "\x80" <= c < "\xa0")
+
+
+def traces(word: str, left: str) -> list[str]:
+    """Keys under which a damaged word, as it is and as far as it can be read (``left``), meets the words that may fill it.
+
+    Lost C1 controls leave the same bytes of the damaged and of the whole word, whatever the length. Beside U+FFFD
+    the longest plain part beyond Latin-1 is in both, of which up to three characters are the key, with the mask.
+    """
+    out = {mask(left), "=" + _kept(word, 0x100), "=" + _kept(left, 0x100), "=" + _kept(left, 0x80)}
+    if "�" in left and (part := max(re.split("[\x00-\xff�]+", left), key=len)):
+        out.add(f"~{part[:3]}{zlib.crc32(mask(left).encode('utf-8', 'surrogatepass'))}")
+    return sorted(out)
+
+
+def whole_traces(word: str) -> list[str]:
+    """The keys of traces() for a sound word; by its mask only where few characters are beyond ASCII."""
+    shape = zlib.crc32(mask(word).encode("utf-8", "surrogatepass"))
+    out = {"=" + _kept(word, 0x80)} | {f"~{run[i : i + k]}{shape}" for run in _BEYOND.findall(word) for k in (1, 2, 3) for i in range(len(run) - k + 1)}
+    if sum(map(len, _BEYOND.findall(word))) <= 6 and (len(mask(word)) > 1 or len(word) == 1):
+        out.add(mask(word))
+    return sorted(out)
+
+
 def fits(damaged: str, whole: str) -> bool:
     """Whether a word may be the damaged one with its lost bytes back."""
     a, b = _BEYOND.findall(damaged), _BEYOND.findall(whole)
@@ -289,16 +316,17 @@ def garbled_words(words: DataFrame) -> DataFrame:
         )
         .select("word", F.col("key").alias("fixed"), F.when(F.col("kind") == "read", F.col("gain")).otherwise(0.0).alias("gain"), "seen")
     )
-    # patterns: only sound words with few characters beyond ASCII can fill wildcards
-    odd = F.regexp_replace("word", r"[\x00-\x7F]", "")
-    fillers = words.where((F.length(odd) <= 6) & ~F.col("word").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).select(
-        F.regexp_replace("word", r"[^\x00-\x7F]+", "�").alias("key"), F.col("word").alias("fixed"), F.col("n").alias("seen"), F.col("rows").alias("seen_rows")
-    )
-    fillers = fillers.where((F.length("key") > 1) | (F.length("fixed") == 1))
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, w, n, m) for w, n, m in zip(pdf["word"], pdf["n"], pdf["rows"], strict=True) for k in whole_traces(w)]
+            yield pd.DataFrame(rows, columns=["key", "fixed", "seen", "seen_rows"])
+
+    # only sound words can fill wildcards
+    fillers = words.where(~F.col("word").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).mapInPandas(fill, "key string, fixed string, seen long, seen_rows long")
 
     @F.pandas_udf("boolean")
     def fit(damaged: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([d != w and fits(_left(counts, d), w) for d, w in zip(damaged, whole, strict=True)])
+        return pd.Series([d != w and any(mask(x) == mask(w) and fits(x, w) for x in {_left(counts, d), d}) for d, w in zip(damaged, whole, strict=True)])
 
     filled = (
         offers.where("kind = 'mask'")

@@ -228,6 +228,15 @@ def test_copies_of_a_garbled_text_are_found(spark, garbled):
     assert got == {(i, w) for i, _ in copies for w in garbled.split(" ")}
 
 
+def test_long_words_with_lost_bytes_are_restored(spark):
+    whole = ["безопасности", "передаваемых"]
+    lost = ["".join(c for c in w.encode().decode("latin-1") if not "\x80" <= c < "\xa0") for w in whole]
+    lost += ["безопа�ности", "�ередаваемы�"]
+    df = table(spark, [(i, f"{' '.join(whole)} {i} на уровне") for i in range(50)] + [(100 + i, w) for i, w in enumerate(lost)])
+    got = {r.doc_id: r.fixed for r in mojibake.garbled_places(df, "id", "t").collect()}
+    assert got == {100 + i: w for i, w in enumerate(whole * 2)}
+
+
 def test_fits_lost_bytes():
     assert mojibake.fits("operatorâs", "operator’s") and mojibake.fits("GrÃ¶Ãe".replace("Ã¶", "ö"), "Größe")
     assert not mojibake.fits("operatorâs", "operatorés") and mojibake.fits("l��l", "l’él")
