@@ -1,15 +1,18 @@
 """Long exact spans shared between records, by seed and extend.
 
 Seeds: every text is winnowed (least hash of ``GRAM``-grams in each window of ``WINDOW``),
-so a shared span of ``GRAM + WINDOW - 1`` characters has the same anchors in both texts;
-anchors that occur in one text only are dropped with map-side minima. Extension: a stretch
-whose anchors are all shared is extended to the spans of exactly ``least`` characters it
-can hold; a span counts if its hash occurs in another text. Overlapping spans join into
-maximal repeats. Records of one stored text form a class: they share everything.
-
-No pairs are formed: a passage that a third of all records holds costs a row per
-character and text, summed map-side, not a row per pair. Hashes have 64 bits; over n spans
-a false share is expected with probability below n^2 / 2^64.
+so that two texts with a common span of ``GRAM + WINDOW - 1`` characters hold the same
+anchor at the same place of it. Texts are joined on the anchors that more than one of them
+holds. Extension: an anchor's context is the text on both sides of it, as far as a span of
+the least length around it can reach. Equal contexts of an anchor meet map-side and stand
+for one another; different ones are extended both ways, character by character, against
+each other, and a match of ``least`` characters or more is kept. Kept matches that overlap
+or touch in a text are its maximal repeats. Records of one stored text share everything.
+
+No group is unbounded: an anchor with more than ``CONTEXTS`` different contexts (a line of
+boilerplate before different texts) is not compared pair by pair; there the spans of
+exactly the least length around it are counted by their text, a row per span, which gives
+the same maximal matches. Texts are told apart by the least id that holds them.
 
 Defined results: null texts and texts shorter than ``least`` share nothing; repeated rows
 of one id are one record; very long texts are handled whole; an empty table gives no rows.
@@ -26,11 +29,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.session import spread, table
+from docketlake.session import checkpoint, spread, table
 
 LEAST = 120
 GRAM = 60
 WINDOW = 61
+CONTEXTS = 64
 _BASE = 0x9E3779B97F4A7C15
 _NO_HASH = np.zeros(0, np.uint64)
 
@@ -48,103 +52,152 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def prefix_sums(text: str) -> np.ndarray:
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    up, _ = _powers(1 << max(12, len(code).bit_length()))
-    sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(_mix(code + np.uint64(77)) * up[: len(code)], out=sums[1:])
-    return sums
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def gram_hashes(sums: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(text: str, k: int = GRAM) -> np.ndarray:
     """A hash for every stretch of k characters."""
-    n = len(sums) - k
+    code = _codes(text).astype(np.uint64)
+    n = len(code) - k + 1
     if n <= 0:
         return _NO_HASH
-    _, down = _powers(1 << max(12, (len(sums) - 1).bit_length()))
+    up, down = _powers(1 << max(12, len(code).bit_length()))
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_mix(code + np.uint64(77)) * up[: len(code)], out=sums[1:])
     return _mix((sums[k:] - sums[:n]) * down[:n])
 
 
-def window_anchors(sums: np.ndarray) -> np.ndarray:
-    """The anchor's hash of every winnowing window."""
-    grams = gram_hashes(sums, GRAM)
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the winnowed grams: the first of the least in every window."""
+    grams = gram_hashes(text)
     if len(grams) < WINDOW:
-        return _NO_HASH
-    return np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1)
+        return np.zeros(0, np.int64), _NO_HASH
+    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1)
+    at = np.unique(least + np.arange(len(least)))
+    return at, grams[at]
 
 
 def _ints(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def shared_spans(records: DataFrame, rid: str, text: str, least: int = LEAST) -> DataFrame:
-    """(record_id, shared_chars) of the records that share a span of ``least`` characters or more."""
-    inner = least - GRAM - WINDOW + 2  # winnowing windows inside a span
-    if inner < 1:
-        raise ValueError(f"least must be {GRAM + WINDOW - 1} or more")
-    rows = records.select(F.col(rid).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th")).where(F.length("text") >= least)
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, tid) to (anchor, tid), the different anchors of each text."""
+    for batch in batches:
+        found, owner = [_NO_HASH], [np.zeros(0, np.int64)]
+        for t, tid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a = np.unique(anchors(t)[1])
+            found.append(a)
+            owner.append(np.full(len(a), tid, np.int64))
+        yield pa.RecordBatch.from_arrays([_ints(np.concatenate(found)), pa.array(np.concatenate(owner))], ["anchor", "tid"])
+
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(reach: int):
+    """(text, tid, anchors) to (anchor, tid, at, off, around): each shared anchor's place and its text with ``reach`` characters on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, owner = [_NO_HASH], [np.zeros(0, np.int64)]
-            for t, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a = np.unique(window_anchors(prefix_sums(t)))
-                found.append(a)
-                owner.append(np.full(len(a), th, np.int64))
-            yield pa.RecordBatch.from_arrays([_ints(np.concatenate(found)), pa.array(np.concatenate(owner))], ["anchor", "th"])
-
-    anchors = spread(rows.select("text", "th")).mapInArrow(seeds, "anchor bigint, th bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = anchors.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("anchor")
-    of_text = anchors.join(shared, "anchor").groupBy("th").agg(F.collect_set("anchor").alias("anchors"))
-    texts = rows.select("th", "text").dropDuplicates(["th"]).join(of_text, "th")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per text the places of its candidate spans, the different spans, and which span is at which place."""
-        kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            found, owner, places, offs, around = [_NO_HASH], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for t, tid, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                at, hashes = anchors(t)
+                good = np.isin(hashes.view(np.int64), shared.values.to_numpy(zero_copy_only=False))
+                at = at[good]
+                found.append(hashes[good])
+                owner.append(np.full(len(at), tid, np.int64))
+                places.append(at)
+                offs.append(np.minimum(at, reach))
+                around += [t[max(0, p - reach) : p + GRAM + reach] for p in at.tolist()]
+            columns = [_ints(np.concatenate(found)), *(pa.array(np.concatenate(c)) for c in (owner, places, offs)), pa.array(around, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "tid", "at", "off", "around"])
+
+    return run
+
+
+def extend(around: list[str], off: list[int], lo: list[int], hi: list[int], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context of one anchor, how far it is matched to the left and to the right by contexts of other texts; -1 where by none.
+
+    lo and hi are the least and the greatest text that hold a context.
+    """
+    n, width = len(around), 2 * reach + GRAM
+    codes = np.empty((n, width), np.int64)
+    codes[:] = -1 - np.arange(n)[:, None]  # beyond the text nothing is equal
+    for i, (a, o) in enumerate(zip(around, off, strict=True)):
+        codes[i, reach - o : reach - o + len(a)] = _codes(a)
+    left, right = np.full(n, -1), np.full(n, -1)
+    low, high = np.asarray(lo), np.asarray(hi)
+    for i in range(n):
+        same = codes == codes[i]
+        l = np.logical_and.accumulate(same[:, :reach][:, ::-1], axis=1).sum(axis=1)
+        r = np.logical_and.accumulate(same[:, reach + GRAM :], axis=1).sum(axis=1)
+        others = (low != low[i]) | (high != high[i]) | (low < high)  # held by a text that is not the only one of context i
+        ok = others & same[:, reach : reach + GRAM].all(axis=1) & (l + r >= reach)
+        if low[i] == high[i]:
+            ok[i] = False
+        else:
+            l[i], r[i], ok[i] = off[i], len(around[i]) - off[i] - GRAM, len(around[i]) - GRAM >= reach
+        if ok.any():
+            left[i], right[i] = l[ok].max(), r[ok].max()
+    return left, right
+
+
+def _extended(reach: int):
+    """(anchor, contexts) to (anchor, h, left, right) of the contexts that are matched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            for t, th, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                sums = prefix_sums(t)
-                good = np.isin(window_anchors(sums).view(np.int64), known.values.to_numpy(zero_copy_only=False))
-                seen = np.concatenate([[0], np.cumsum(good)])
-                where = np.flatnonzero(seen[inner:] - seen[:-inner] == inner)
-                if len(where):
-                    different, which = np.unique(gram_hashes(sums, least)[where], return_inverse=True)
-                    for c, v in zip(columns, (th, where.astype(np.int32), which.astype(np.int32), different.view(np.int64)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["th", "places", "which", "spans"])
-
-    stretches = texts.select("text", "th", "anchors").mapInArrow(extend, "th bigint, places array<int>, which array<int>, spans array<bigint>").persist(StorageLevel.MEMORY_AND_DISK)
-    # nearly all candidates are shared, so only those that are not travel back to their text
-    once = (
-        stretches.select("th", F.posexplode("spans").alias("k", "span"))
-        .groupBy("span")
-        .agg(F.min("th").alias("th"), F.max("th").alias("hi"), F.min("k").alias("k"))
-        .where("th = hi")
-        .groupBy("th")
-        .agg(F.collect_list("k").alias("once"))
-    )
+            out: list[list] = [[], [], [], []]
+            for anchor, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, right = extend(*([c[k] for c in group] for k in ("around", "off", "lo", "hi")), reach)
+                for k in np.flatnonzero(left >= 0).tolist():
+                    for column, v in zip(out, (anchor, group[k]["h"], int(left[k]), int(right[k])), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["anchor", "h", "left", "right"])
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chars = []
-            for places, which, once_ in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                at = places.values.to_numpy(zero_copy_only=False)
-                if once_.is_valid:
-                    at = at[~np.isin(which.values.to_numpy(zero_copy_only=False), once_.values.to_numpy(zero_copy_only=False))]
-                chars.append(int(np.minimum(np.diff(at), least).sum()) + least if len(at) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64())], ["th", "chars"])
-
-    covered = stretches.drop("spans").join(once, "th", "left").mapInArrow(cover, "th bigint, chars bigint").where("chars > 0")
-    ids = rows.select("id", "th", F.length("text").alias("n"))
-    copies = ids.groupBy("th").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("th", F.lit(True).alias("copied"))
-    return (
-        ids.distinct()
-        .join(covered, "th", "left")
-        .join(copies, "th", "left")
-        .select(F.col("id").alias("record_id"), F.when(F.col("copied"), F.col("n")).otherwise(F.col("chars")).cast("int").alias("shared_chars"))
-        .where("shared_chars is not null")
+    return run
+
+
+def _counted(contexts: DataFrame, least: int) -> DataFrame:
+    """The same as _extended() by counting: every span of ``least`` characters that holds the anchor, by its text."""
+    starts = F.sequence(F.greatest(F.col("off") - (least - GRAM), F.lit(0)), F.least(F.col("off"), F.length("around") - least))
+    spans = contexts.where((F.length("around") >= least) & (F.length("around") - least >= F.greatest(F.col("off") - (least - GRAM), F.lit(0))))
+    spans = spans.select("anchor", "h", "off", "lo", "hi", "around", F.explode(starts).alias("s"))
+    spans = spans.select("anchor", "h", "lo", "hi", (F.col("off") - F.col("s")).alias("d"), F.md5(F.substring("around", F.col("s") + 1, F.lit(least))).alias("span"))
+    shared = spans.groupBy("anchor", "d", "span").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("anchor", "d", "span")
+    met = spans.join(shared, ["anchor", "d", "span"]).groupBy("anchor", "h")
+    return met.agg(F.max("d").cast("int").alias("left"), (F.lit(least - GRAM) - F.min("d")).cast("int").alias("right"))
+
+
+def shared_spans(records: DataFrame, rid: str, text: str, least: int = LEAST, contexts: int = CONTEXTS) -> DataFrame:
+    """(record_id, shared_chars) of the records that share a span of ``least`` characters or more."""
+    reach = least - GRAM
+    if least < GRAM + WINDOW - 1:
+        raise ValueError(f"least must be {GRAM + WINDOW - 1} or more")
+    rows = records.select(F.col(rid).alias("id"), F.col(text).alias("text"), F.md5(F.col(text)).alias("key")).where(F.length("text") >= least)
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("tid"), F.max("id").alias("top")).persist(StorageLevel.MEMORY_AND_DISK)
+    seeds = spread(texts.select("text", "tid")).mapInArrow(_seeds, "anchor bigint, tid bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    shared = seeds.groupBy("anchor").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("anchor")
+    of_text = seeds.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))  # at most a text's own anchors
+    places = texts.select("text", "tid").join(of_text, "tid").select("text", "tid", "anchors")
+    places = places.mapInArrow(_contexts(reach), "anchor bigint, tid bigint, at bigint, off bigint, around string")
+    places = places.withColumn("h", F.xxhash64("around", "off")).persist(StorageLevel.MEMORY_AND_DISK)
+    different = places.groupBy("anchor", "off", "around", "h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"))
+    groups = different.groupBy("anchor").agg(F.count("*").alias("n"))
+    different = different.join(groups, "anchor").persist(StorageLevel.MEMORY_AND_DISK)
+    few = different.where(F.col("n") <= contexts).groupBy("anchor").agg(F.collect_list(F.struct("h", "around", "off", "lo", "hi")).alias("group"))  # at most ``contexts``
+    matched = few.mapInArrow(_extended(reach), "anchor bigint, h bigint, left int, right int").unionByName(_counted(different.where(F.col("n") > contexts), least))
+    met = places.select("tid", "at", "anchor", "h").join(matched, ["anchor", "h"])
+    matches = met.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct((F.col("at") - F.col("left")).alias("s"), (F.col("at") + GRAM + F.col("right")).alias("e")))).alias("m"))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
+    repeats = F.aggregate(
+        "m", none, lambda was, m: F.struct((was["n"] + F.greatest(F.lit(0).cast("bigint"), m["e"] - F.greatest(m["s"], was["to"]))).alias("n"), F.greatest(was["to"], m["e"]).alias("to"))
     )
+    covered = matches.select("tid", repeats["n"].alias("chars"))
+    chars = texts.join(covered, "tid", "left").select("key", F.when(F.col("tid") < F.col("top"), F.length("text")).otherwise(F.col("chars")).cast("int").alias("shared_chars"))
+    out = checkpoint(rows.select("id", "key").distinct().join(chars.where("shared_chars is not null"), "key").select(F.col("id").alias("record_id"), "shared_chars"))
+    for kept in (texts, seeds, places, different):
+        kept.unpersist()
+    return out
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

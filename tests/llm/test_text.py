@@ -138,7 +138,13 @@ def test_shared_spans_by_brute_force(spark):
     data = [(i, word(rng.randint(0, 90)) + rng.choice(shared)[rng.randint(0, 3) :] + word(rng.randint(0, 90))) for i in range(40)]
     data += [(50, shared[4]), (51, shared[4]), (51, shared[4]), (52, None), (53, ""), (54, "x" * 119), (55, "y" * 500), (56, "z" * 150), (57, "z" * 130)]
     got = {r.record_id: r.shared_chars for r in spans.shared_spans(table(spark, data), "id", "t").collect()}
-    assert got == brute_shared(data, 120)
+    want = brute_shared(data, 120)
+    assert got == want
+    # an anchor with many contexts is counted instead of compared: the same result
+    counted = {r.record_id: r.shared_chars for r in spans.shared_spans(table(spark, data), "id", "t", contexts=1).collect()}
+    assert counted == want
+    longer = {r.record_id: r.shared_chars for r in spans.shared_spans(table(spark, data), "id", "t", 150, contexts=3).collect()}
+    assert longer == brute_shared(data, 150)
     assert spans.shared_spans(table(spark, []), "id", "t").count() == 0
 
 
