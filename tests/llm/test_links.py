@@ -94,3 +94,24 @@ def test_components_at_every_bound(spark):
         got = {r.node: r.group_id for r in components.connected_components(df, "a", "b", rows_per_task=bound).collect()}
         assert got == plain_components(edges)
     assert components.connected_components(df.where("false"), "a", "b").count() == 0
+
+
+def test_many_nodes_merge_through_bounded_partitions(spark):
+    rng = random.Random(9)
+    name = lambda i: f"S2-{2300000 + i}"
+    chain = [(name(i + 1), name(i)) for i in range(700)]
+    star = [(name(2000), name(2001 + i)) for i in range(400)]
+    loose = [(name(3000 + rng.randrange(500)), name(3000 + rng.randrange(500))) for _ in range(350)]
+    edges = [*chain, *star, *loose, *star[:50]]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a string, b string").repartition(3)
+    got = {r.node: r.group_id for r in components.connected_components(df, "a", "b", rows_per_task=300).collect()}
+    assert got == plain_components(edges)
+
+
+def test_a_partition_of_many_nodes_gives_out_forests():
+    import pandas as pd
+
+    run = components.local_forest(10)
+    frames = list(run(iter([pd.DataFrame({"node": [f"b{i}" for i in range(k, k + 8)], "root": [f"a{i}" for i in range(k, k + 8)]}) for k in range(0, 40, 8)])))
+    assert len(frames) > 2 and sorted(r for f in frames for r in zip(f["node"], f["root"])) == sorted((f"b{i}", f"a{i}") for i in range(40))
