@@ -3,14 +3,17 @@
 The words of all register names, and every name written in one piece, form tries. A typed
 value is cleaned (additions in brackets, legal forms), its words walk the tries with a
 Levenshtein automaton (transpositions count one) whose bound grows with the word length,
-and the words found are laid over the words of each entry in any order. Abbreviations,
-initials, short first names and acronyms are further ways for a word to stand for another.
-The entry of least cost wins; a tie between entries links nothing.
-
-The register is cut into tries of at most ``TRIE_NAMES`` names; each is broadcast alone
-(its size is bounded). Which words are generic is found over the whole register, and of
-every trie all entries that may win or tie are kept per value, so a register of any size
-gives what one trie would. Typed values are looked up once per distinct spelling.
+and the words found are laid over the words of each entry in any order, by a least-cost
+assignment for names of any number of words. Abbreviations, initials, short first names and
+acronyms are further ways for a word to stand for another. The entry of least cost wins;
+a tie between entries links nothing.
+
+The tries are sharded by prefix into shards of at most ``TRIE_NAMES`` keys. The same
+automaton, run over the prefixes alone, routes a typed value to the shards that can hold a
+near word, where it meets the entries of that shard, side by side with other shards and,
+where many values ask one shard, with other tasks over copies of it. Which words are
+generic is found over the whole register, and entries that may win or tie are kept from
+every shard, so that the links are the same for any number of shards.
 
 Defined results: null, blank and bracket-only values mean nobody; repeated rows count
 once; with an empty register nothing is linked.
@@ -18,9 +21,10 @@ once; with an empty register nothing is linked.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -32,6 +36,8 @@ from docketlake.operators.packed import LEGAL_FORMS, agenda_values
 from docketlake.session import checkpoint, even, table
 
 TRIE_NAMES = 20_000
+PREFIX = 12
+VALUES_PER_TASK = 20_000
 MAX_COST = 3.0
 CLEAR = 0.25  # entries this close to the best are a tie
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
@@ -41,51 +47,89 @@ _LEGAL = re.compile(
 )
 
 
+class Node:
+    """A place in a trie: children by character, the word that ends here, and the least and greatest length of a word below."""
+
+    __slots__ = ("children", "word", "least", "most")
+
+    def __init__(self):
+        self.children: dict[str, Node] = {}
+        self.word: str | None = None
+        self.least, self.most = 1 << 30, 0
+
+
 class Trie:
-    """Words with a bounded search: children per node, the word's number at its end."""
+    """Words with a bounded search by a Levenshtein automaton.
+
+    The automaton's states are bit sets, one for each number of edits so far: bit i stands for
+    i characters of the typed word read. A swap of neighbours counts one.
+    """
 
-    def __init__(self, words: list[str]):
-        self.words, self.root = words, {}
-        self.longest = max(map(len, words), default=0)
-        for i, w in enumerate(words):
+    def __init__(self, words: Iterable[str]):
+        self.root = Node()
+        for w in words:
             node = self.root
+            node.least, node.most = min(node.least, len(w)), max(node.most, len(w))
             for ch in w:
-                node = node.setdefault(ch, {})
-            node[""] = i
+                node = node.children.setdefault(ch, Node())
+                node.least, node.most = min(node.least, len(w)), max(node.most, len(w))
+            node.word = w
+
+    def get(self, word: str) -> Node | None:
+        node = self.root
+        for ch in word:
+            if (node := node.children.get(ch)) is None:
+                return None
+        return node
 
     def near(self, word: str, bound: int) -> dict[str, int]:
-        """Words within ``bound`` edits. The automaton's state is the band of a row; dead states end a branch."""
-        n, found = len(word), {}
-        if n > self.longest + bound:
-            return found  # no word is near enough
-        first = tuple(range(n + 1))
-        stack = [(self.root, first, None, "")]
+        """Words within ``bound`` edits, with their number."""
+        if bound == 0:
+            return {word: 0} if (node := self.get(word)) and node.word == word else {}
+        return {node.word: d for node, d in self._walk(word, bound, True)}
+
+    def alive(self, word: str, bound: int) -> set[str]:
+        """Words of the trie that begin a word within ``bound`` edits of the typed one."""
+        return {node.word for node, _ in self._walk(word, bound, False)}
+
+    def _walk(self, word: str, bound: int, whole: bool) -> Iterator[tuple[Node, int]]:
+        n = len(word)
+        if whole and (n > self.root.most + bound or n < self.root.least - bound):
+            return
+        final, full = 1 << n, (2 << n) - 1
+        masks: dict[str, int] = {}
+        for i, ch in enumerate(word):
+            masks[ch] = masks.get(ch, 0) | 1 << i
+        two = bound > 1
+        top = n + bound if whole else 1 << 30
+        low = n - bound if whole else 0
+        stack = [(self.root, 1, 3 & full, 7 & full if two else 0, 0, 0, 0)]
+        if not whole and self.root.word is not None:
+            yield self.root, 0
         while stack:
-            node, row, above, last = stack.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    if row[n] <= bound:
-                        found[self.words[child]] = row[n]
+            node, r0, r1, r2, p0, p1, last = stack.pop()
+            for ch, child in node.children.items():
+                if child.least > top or child.most < low:
                     continue
-                depth = row[0] + 1
-                lo, hi = max(1, depth - bound), min(n, depth + bound)
-                new = [bound + 1] * (n + 1)
-                new[0] = depth
-                best = depth if lo == 1 else bound + 1
-                for j in range(lo, hi + 1):
-                    c = row[j - 1] + (word[j - 1] != ch)
-                    if new[j - 1] + 1 < c:
-                        c = new[j - 1] + 1
-                    if row[j] + 1 < c:
-                        c = row[j] + 1
-                    if above is not None and j > 1 and word[j - 1] == last and word[j - 2] == ch and above[j - 2] + 1 < c:
-                        c = above[j - 2] + 1
-                    new[j] = c
-                    if c < best:
-                        best = c
-                if best <= bound or (above is None or min(row) <= bound - 1):
-                    stack.append((child, new, row, ch))
-        return found
+                m = masks.get(ch, 0)
+                swap = m & last >> 1
+                n0 = (r0 & m) << 1
+                n1 = ((r1 & m) << 1 | r0 | r0 << 1 | n0 << 1 | (p0 & swap) << 2) & full
+                if two:
+                    n2 = ((r2 & m) << 1 | r1 | r1 << 1 | n1 << 1 | (p1 & swap) << 2) & full
+                    if not n2:
+                        continue
+                else:
+                    n2 = 0
+                    if not n1:
+                        continue
+                if child.word is not None:
+                    if not whole:
+                        yield child, 0
+                    elif (n2 if two else n1) & final:
+                        yield child, 0 if n0 & final else 1 if n1 & final else 2
+                if child.children:
+                    stack.append((child, n0, n1, n2, r0, r1, m))
 
 
 def edit_bound(length: int) -> int:
@@ -142,15 +186,49 @@ def with_generic(register: DataFrame) -> DataFrame:
     return register.join(own, "entry_id", "left")
 
 
+def assign(options: list[list[tuple[float, int]]], places: int) -> float | None:
+    """Least cost of giving every row a place of its own, by successive shortest augmenting paths; options are (cost, place)."""
+    inf = math.inf
+    cost = [dict((k, c) for c, k in reversed(opts)) for opts in options]
+    held, rows_up, places_up = [-1] * places, [0.0] * len(cost), [0.0] * places
+    for row in range(len(cost)):
+        dist, came, done = [inf] * places, [-1] * places, [False] * places
+        i, at, base = row, -1, 0.0
+        while True:
+            for k, c in cost[i].items():
+                if not done[k] and (d := base + c - rows_up[i] - places_up[k]) < dist[k]:
+                    dist[k], came[k] = d, at
+            at = min((k for k in range(places) if not done[k]), key=dist.__getitem__, default=-1)
+            if at < 0 or dist[at] == inf:
+                return None
+            done[at], base = True, dist[at]
+            if held[at] < 0:
+                break
+            i = held[at]
+        rows_up[row] += base
+        for k in range(places):
+            if done[k] and k != at:
+                rows_up[held[k]] += base - dist[k]
+                places_up[k] -= base - dist[k]
+        while at >= 0:
+            held[at] = held[came[at]] if came[at] >= 0 else row
+            at = came[at]
+    return sum(cost[i][k] for k, i in enumerate(held) if i >= 0)
+
+
+def _acronym(words: list[str], kind: str) -> str | None:
+    return "".join(w[0] for w in words) if len(words) > 2 and kind not in ("alias", "delegate") else None
+
+
 class Register:
-    """One trie shard of (entry id, name, kind, aliases, generic words of the entry)."""
+    """Entries (entry id, name, kind, aliases, generic words of the entry) of one trie shard."""
 
-    def __init__(self, entries: list[tuple]):
+    def __init__(self, entries: Iterable[tuple]):
         self.entries: list[tuple[int, list[str], str, str]] = []  # id, words, legal, kind
         self.generic: set[str] = set()
         for eid, name, kind, aliases, generic in entries:
             self.entries += [(eid, *form) for form in _forms(name, kind, aliases)]
-            self.generic.update(generic or ())
+            self.generic.update(generic if generic is not None else ())
         holders = defaultdict(set)
         for i, (_, words, _, _) in enumerate(self.entries):
             for w in words:
@@ -158,8 +236,8 @@ class Register:
         self.holders = holders
         self.acronyms = defaultdict(set)
         for eid, words, _, kind in self.entries:
-            if len(words) > 2 and kind not in ("alias", "delegate"):
-                self.acronyms["".join(w[0] for w in words)].add(eid)
+            if short := _acronym(words, kind):
+                self.acronyms[short].add(eid)
         self.joined = defaultdict(set)
         for i, (_, words, legal, _) in enumerate(self.entries):
             for form in ("".join(words), "".join(words) + legal):
@@ -167,8 +245,9 @@ class Register:
         self.by_initial = defaultdict(set)
         for w in holders:
             self.by_initial[w[0]].add(w)
-        self.trie, self.whole = Trie(sorted(holders)), Trie(sorted(self.joined))
+        self.trie, self.whole = Trie(holders), Trie(self.joined)
         self.near_word = lru_cache(200_000)(self._near_word)
+        self.near_whole = lru_cache(200_000)(lambda form: self.whole.near(form, edit_bound(len(form))))
 
     def _near_word(self, word: str) -> dict[str, float]:
         """Register word -> cost of the typed word standing for it."""
@@ -181,6 +260,8 @@ class Register:
     def _cost(self, typed: list[str], legal: str, entry: tuple) -> float | None:
         """Words laid over the entry's words in any order; None if one is left over."""
         _, words, own_legal, kind = entry
+        if len(typed) > len(words):
+            return None
         options = []
         for t in typed:
             near = self.near_word(t)
@@ -190,29 +271,27 @@ class Register:
             if not opts:
                 return None
             options.append(sorted(opts))
-        best: list[float | None] = [None]
-
-        def lay(i: int, used: int, cost: float) -> None:
-            if best[0] is not None and cost >= best[0]:
-                return
-            if i == len(options):
-                missing = [w for k, w in enumerate(words) if not used >> k & 1]
-                lost = sum(1 for w in missing if w not in self.generic)
-                if lost == len([w for w in words if w not in self.generic]):
-                    return  # nothing of the name proper is there
-                total = cost + 0.5 * (len(missing) - lost) + 1.5 * lost
-                if legal != own_legal:
-                    total += 0.2 if not legal else 1.2 if own_legal else 1.0
-                if best[0] is None or total < best[0]:
-                    best[0] = total
-                return
-            for c, k in options[i]:
-                if not used >> k & 1:
-                    lay(i + 1, used | 1 << k, cost + c)
-
-        if len(typed) <= len(words):
-            lay(0, 0, 0.0)
-        return best[0]
+        # a word that is missing costs; one that is there saves that
+        worth = [0.5 if w in self.generic else 1.5 for w in words]
+        proper = {k for k, w in enumerate(words) if w not in self.generic}
+        saved = [sorted((c - worth[k], k) for c, k in opts) for opts in options]
+        firsts = {opts[0][1] for opts in saved}
+        if len(firsts) == len(saved):  # each takes the place it fits best
+            best, used = sum(opts[0][0] for opts in saved), firsts
+        else:
+            best, used = assign(saved, len(words)), None
+        if best is None:
+            return None
+        if used is None or not used & proper:
+            # part of the name proper must be there: one of the typed words takes such a place
+            forced = [assign([*saved[:i], [(c, k)], *saved[i + 1 :]], len(words)) for i, opts in enumerate(saved) for c, k in opts if k in proper]
+            best = min((f for f in forced if f is not None), default=None)
+            if best is None:
+                return None
+        total = best + sum(worth)
+        if legal != own_legal:
+            total += 0.2 if not legal else 1.2 if own_legal else 1.0
+        return total
 
     def match(self, value: str) -> list[tuple[int, float]]:
         """(entry id, cost) of the entry that fits best and of those that tie with it."""
@@ -225,50 +304,129 @@ class Register:
             if cost <= MAX_COST and cost < costs.get(eid, MAX_COST + 1):
                 costs[eid] = cost
 
-        if len(typed) <= 8:
-            tried = set()
-            for t in typed:
-                for w in self.near_word(t):
-                    if w not in self.generic:
-                        tried |= self.holders[w]
-            for i in tried:
-                if (c := self._cost(typed, legal, self.entries[i])) is not None:
-                    offer(self.entries[i][0], c)
+        tried = set()
+        for t in typed:
+            for w in self.near_word(t):
+                if w not in self.generic:
+                    tried |= self.holders[w]
+        for i in tried:
+            if (c := self._cost(typed, legal, self.entries[i])) is not None:
+                offer(self.entries[i][0], c)
         one = "".join(typed)
         for form in {one, one + legal}:
-            for near, d in self.whole.near(form, edit_bound(len(form))).items():
+            for near, d in self.near_whole(form).items():
                 for i in self.joined[near]:
                     offer(self.entries[i][0], d + 0.1)
         if len(one) > 2 and one in self.acronyms and (len(typed) == 1 or len(one) == len(typed)):
             for eid in self.acronyms[one]:
                 offer(eid, 0.5)
         low = min(costs.values(), default=0.0)
-        return [(e, c) for e, c in costs.items() if c <= low + CLEAR]
+        return [(e, c) for e, c in costs.items() if c <= low + CLEAR + 1e-9]
+
+
+END = "\x00"  # ends a key, so that each has a prefix that is no other's
+
+
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(entry_id, key): by what a typed value can meet an entry: its words but the generic ones, its joined forms, its acronym."""
+    for pdf in batches:
+        rows = set()
+        for eid, name, kind, aliases, generic in pdf[["entry_id", "name", "kind", "aliases", "generic"]].itertuples(index=False):
+            own = set(generic) if generic is not None else set()
+            for words, legal, k in _forms(name, kind, aliases):
+                keys = {w for w in words if w not in own} | {"".join(words), "".join(words) + legal, _acronym(words, k)} - {None}
+                rows |= {(eid, key + END) for key in keys}
+        yield pd.DataFrame(sorted(rows), columns=["entry_id", "key"])
+
+
+def trie_shards(keys: DataFrame, trie_names: int) -> list[tuple[str, int]]:
+    """(prefix, parts) of the shards: the shortest prefixes that at most ``trie_names`` keys begin with.
+
+    A prefix of PREFIX characters, or of a whole key, is not made longer; one that more keys share has several parts, by entry.
+    """
+    cut = keys.select("key", F.explode(F.sequence(F.lit(0), F.least(F.length("key"), F.lit(PREFIX)))).alias("n"))
+    counts = cut.select(F.substring("key", F.lit(1), F.col("n")).alias("p"), "n").groupBy("p", "n").count()
+    big = counts.where(F.col("count") > trie_names).select(F.col("p").alias("up"))
+    own = counts.withColumn("up", F.substring("p", F.lit(1), F.greatest(F.col("n") - 1, F.lit(0))))
+    small = own.where((F.col("count") <= trie_names) | (F.col("n") == PREFIX) | F.col("p").endswith(END))
+    chosen = small.where("n = 0").drop("up").unionByName(small.where("n > 0").join(big, "up", "left_semi").drop("up"))
+    # about (keys / trie_names) x the characters in use
+    return sorted((r.p, -(-r["count"] // trie_names)) for r in chosen.collect())
+
+
+class Shards:
+    """Which shards a typed value, and which shard a key belongs to."""
+
+    def __init__(self, prefixes: list[str]):
+        self.number = {p: i for i, p in enumerate(prefixes)}
+        self.trie = Trie(prefixes)
+        self.reached = lru_cache(200_000)(self._reached)
+
+    def of_key(self, key: str) -> int:
+        return next(self.number[key[:n]] for n in range(PREFIX + 1) if key[:n] in self.number)
+
+    def _reached(self, word: str) -> frozenset[int]:
+        if "" in self.number:
+            return frozenset((self.number[""],))
+        found = self.trie.alive(word, max(edit_bound(len(word)), 1))
+        # words it shortens begin with it
+        node = self.trie.get(word)
+        stack = [node] if node else []
+        while stack:
+            node = stack.pop()
+            if node.word is not None:
+                found.add(node.word)
+            stack += node.children.values()
+        return frozenset(self.number[p] for p in found)
+
+    def of_value(self, value: str) -> set[int]:
+        typed, legal = clean(value)
+        one = "".join(typed)
+        return set().union(*map(self.reached, {*typed, one, one + legal})) if typed else set()
 
 
 def link_names(values: DataFrame, value: str, register: DataFrame, trie_names: int = TRIE_NAMES) -> DataFrame:
     """(value, entry_id) for every distinct value that means one entry of register(entry_id, name, kind, aliases)."""
+    sc = values.sparkSession.sparkContext
     typed = values.select(F.col(value).alias("value")).where("trim(value) <> ''").distinct()
-    register = register.select("entry_id", "name", "kind", "aliases").where("entry_id is not null and name is not null").dropDuplicates(["entry_id"])
+    register = register.select(F.col("entry_id").cast("bigint").alias("entry_id"), "name", "kind", "aliases").where("entry_id is not null and name is not null").dropDuplicates(["entry_id"])
     register = checkpoint(with_generic(register))
-    blocks = max(1, -(-register.count() // trie_names))
-    found = None
-    for b in range(blocks):
-        part = register.where(F.pmod(F.xxhash64("entry_id"), F.lit(blocks)) == b) if blocks > 1 else register
-        rows = [tuple(r) for r in part.orderBy("entry_id").collect()]  # about trie_names rows
-        shared = values.sparkSession.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            reg = Register(shared.value)
-            for pdf in batches:
-                hits = [(v, *m) for v in pdf["value"] for m in reg.match(v)]
-                yield pd.DataFrame(hits, columns=["value", "entry_id", "cost"])
-
-        part = even(typed).mapInPandas(run, "value string, entry_id long, cost double")
-        found = part if found is None else found.unionByName(part)
-    # an entry is in one block, so a value's offers are different entries; those close to the best of all blocks tie
+    keys = register.mapInPandas(_keys, "entry_id long, key string")
+    parts = trie_shards(keys, trie_names)
+    shards = sc.broadcast([p for p, _ in parts])
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Shards(shards.value)
+        for pdf in batches:
+            yield pd.DataFrame({"entry_id": pdf["entry_id"], "shard": [of.of_key(k) for k in pdf["key"]]})
+
+    def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Shards(shards.value)
+        for pdf in batches:
+            rows = [(v, s) for v in pdf["value"] for s in of.of_value(v)]
+            yield pd.DataFrame(rows, columns=["value", "shard"])
+
+    routed = checkpoint(even(typed).mapInPandas(routes, "value string, shard int"))
+    asked = {r.shard: r["count"] for r in routed.groupBy("shard").count().collect()}  # a row per shard
+    tasks = 4 * sc.defaultParallelism
+    per_task = min(VALUES_PER_TASK, max(100, -(-sum(asked.values()) // tasks)))
+    plan = [(s, part, salt, parts[s][1], -(-n // per_task)) for s, n in asked.items() for part in range(parts[s][1]) for salt in range(-(-n // per_task))]
+    groups, others = (values.sparkSession.createDataFrame(plan, "shard int, part int, salt int, parts int, salts int") for _ in range(2))
+    n = max(sc.defaultParallelism, len(plan) // 4)
+    at = ["shard", "part", "salt"]
+    home = keys.mapInPandas(homes, "entry_id long, shard int").distinct().join(groups, "shard").where(F.pmod(F.xxhash64("entry_id"), "parts") == F.col("part"))
+    entries = home.join(register, "entry_id").select(*at, "entry_id", "name", "kind", "aliases", "generic").repartition(n, *at)
+    questions = routed.join(others, "shard").where(F.pmod(F.xxhash64("value"), "salts") == F.col("salt")).select(*at, "value").repartition(n, *at)
+
+    def search(asked: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        reg = Register(entries[["entry_id", "name", "kind", "aliases", "generic"]].itertuples(index=False))
+        return pd.DataFrame([(v, *m) for v in asked["value"] for m in reg.match(v)], columns=["value", "entry_id", "cost"])
+
+    found = questions.groupBy(*at).cogroup(entries.groupBy(*at)).applyInPandas(search, "value string, entry_id long, cost double")
+    # a value may meet an entry in several shards; entries close to the best of all tie
+    found = found.groupBy("value", "entry_id").agg(F.min("cost").alias("cost"))
     offers = found.groupBy("value").agg(F.min_by("entry_id", "cost").alias("entry_id"), F.sort_array(F.collect_list("cost")).alias("costs"))
-    return offers.where((F.size("costs") == 1) | (F.col("costs")[1] > F.col("costs")[0] + CLEAR)).select("value", "entry_id")
+    return offers.where((F.size("costs") == 1) | (F.col("costs")[1] > F.col("costs")[0] + CLEAR + 1e-9)).select("value", "entry_id")
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:

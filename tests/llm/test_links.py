@@ -49,7 +49,7 @@ def test_register_in_several_tries(spark):
 
 def test_several_tries_link_like_one(spark):
     df = spark.createDataFrame([(v,) for v in VARIANTS], "v string")
-    for tries in (1, 4):
+    for tries in (1, 4, 11):
         got = {r.value: r.entry_id for r in names.link_names(df, "v", register(spark), trie_names=tries).collect()}
         assert got == {v: e for v, e in VARIANTS.items() if e}
 
@@ -115,3 +115,25 @@ def test_a_partition_of_many_nodes_gives_out_forests():
     run = components.local_forest(10)
     frames = list(run(iter([pd.DataFrame({"node": [f"b{i}" for i in range(k, k + 8)], "root": [f"a{i}" for i in range(k, k + 8)]}) for k in range(0, 40, 8)])))
     assert len(frames) > 2 and sorted(r for f in frames for r in zip(f["node"], f["root"])) == sorted((f"b{i}", f"a{i}") for i in range(40))
+
+
+def test_names_of_any_number_of_words(spark):
+    long_name = "Glarn Vost Pelmir Quanto Drevik Sumtal Orwin Hesk Talvo Brint"
+    reg = register(spark, [(1, long_name, "organisation", None), (2, "Kestben Radio Ltd.", "organisation", None), (3, "Kestben Radio", "organisation", None)])
+    reversed_ = " ".join(reversed(long_name.split()))
+    df = spark.createDataFrame([(reversed_,), ("Hesk Brint Talvo Orwin Sumtal Drevik Qaunto Pelmir Vost Glarn",), ("Kestben Radio",)], "v string")
+    for tries in (1, 2, 20_000):
+        got = {r.value: r.entry_id for r in names.link_names(df, "v", reg, trie_names=tries).collect()}
+        assert got[reversed_] == 1 and len(got) == 2 and set(got.values()) == {1}
+
+
+def test_assignment_by_brute_force():
+    from itertools import permutations
+
+    rng = random.Random(3)
+    for _ in range(300):
+        places, rows = rng.randint(1, 6), rng.randint(1, 5)
+        options = [sorted((round(rng.uniform(-2, 2), 2), k) for k in rng.sample(range(places), rng.randint(1, places))) for _ in range(rows)]
+        best = min((sum(dict((k, c) for c, k in o)[k] for o, k in zip(options, p)) for p in permutations(range(places), rows) if all(k in {x for _, x in o} for o, k in zip(options, p))), default=None) if rows <= places else None
+        got = names.assign(options, places)
+        assert (got is None) == (best is None) and (best is None or abs(got - best) < 1e-9)
