@@ -2,12 +2,17 @@
 
 Noisy-channel decoding over the words (runs between spaces and line ends) that hold a
 character beyond ASCII. A word is read back as bytes of the encoding that may have been
-assumed; the bytes form a lattice whose edges are the characters they may have been
-(UTF-8 sequences, GB 2312 pairs, or the character itself), with wildcards where bytes were
-lost. A Viterbi search takes the path that is likeliest under the corpus' character
-frequencies; what it proposes, and what fits around wildcards, is weighed by the corpus'
-word frequencies: a reading wins if it is clearly likelier than the word as it stands.
-The search is repeated up to three times for text garbled more than once.
+assumed; the bytes form a lattice whose edges are the characters they may have been (UTF-8
+sequences or GB 2312 pairs, never both in one run, or the character itself). Lost bytes are
+wildcards of the lattice: a byte sequence may lack C1 controls, U+FFFD may stand for a byte
+or for characters. Through the closed part of the lattice a Viterbi search takes the path
+that is likeliest under the corpus' character frequencies; with wildcards the lattice is
+searched together with the corpus' words, which it meets by keys that lost bytes leave
+alone, and each word's best path is scored by its wildcards. All readings of a word are
+weighed by the corpus' word frequencies: one wins if it is clearly likelier than the word as
+it stands, the most frequent word with the fewest wildcards first. Decoding is repeated
+until nothing is gained, for text garbled more than once. Where nothing is likelier, the
+word stays as it is, and is counted as not restored.
 
 Counts cover all documents. A text counts once, so that copies of it carry no extra
 weight; the rows that hold a word only decide about wildcards and letters of another encoding where the distinct texts do not contradict.
@@ -20,6 +25,7 @@ next-line) are always damage, restorable or not; repeated rows come out once.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import zlib
@@ -40,14 +46,16 @@ from docketlake.session import checkpoint, even, spread, table
 ASSUMED = ("latin-1", "cp1252", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "koi8_r", "cp866")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 ASSUMED_WIDE = ("gb18030", "shift_jis", "euc_kr", "big5")
-LOST_LEADS = "ÂÃâÐÑÅÄ"
 CLEARLY = 3.0  # nats
-MOST_ROUNDS = 3
+WILDCARD, LOST = 1.0, 0.5  # nats a U+FFFD and a lost control cost a reading
+CERTAIN = 3.0  # nats a reading without wildcards is ahead
 FILTER_BITS = 1 << 22
 _DAMAGE = re.compile("[\x80-\x84\x86-\x9f�]")
 USUAL = re.compile("[\u00a0-\u024f\u0370-\u045f\u2010-\u2044\u20ac\u2100-\u25ff]")
 WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
 _BEYOND = re.compile("[^\x00-\x7f]+")
+_LEAD = re.compile("[\xc2-\xf4]")  # what the first byte of a sequence looks like in Latin-1
+_PAIR = re.compile("[\xa1-\xff]{2}")
 
 
 @lru_cache(None)
@@ -68,6 +76,14 @@ def _expected(byte: int) -> int:
     return 2 if 0xC2 <= byte < 0xE0 else 3 if 0xE0 <= byte < 0xF0 else 4 if 0xF0 <= byte < 0xF5 else 0
 
 
+@lru_cache(None)
+def _sequences(codec: str) -> re.Pattern:
+    """What a word must hold if UTF-8 was read as this encoding: a leading and a following byte."""
+    chars = byte_chars(codec)
+    lead, follow = ("".join(map(re.escape, (c for c, b in chars.items() if at <= b < to))) for at, to in ((0xC2, 0xF5), (0x80, 0xC0)))
+    return re.compile(f"[{lead}][{follow}]")
+
+
 class Channel:
     """Readings of words under the character frequencies of a corpus of ``docs`` words."""
 
@@ -83,84 +99,92 @@ class Channel:
             return known
         return self.floor - (0.0 if USUAL.match(ch) else 2.0 if WIDE.match(ch) else 12.0)
 
-    def _path(self, run: str, codec: str, utf8: bool = True) -> tuple[float, str]:
-        """Viterbi over one run of characters beyond ASCII: (gain over the run as it stands, reading); without ``utf8`` by pairs only."""
+    def _path(self, run: str, codec: str, pairs: bool = False) -> tuple[float, str]:
+        """Viterbi over one run of characters beyond ASCII: (gain over the run as it stands, reading), by UTF-8 sequences or by pairs."""
         table_ = byte_chars(codec)
         codes = [table_.get(c, -1) for c in run]
         n = len(run)
         best: list[tuple[float, str]] = [(0.0, "")] + [(-math.inf, "")] * n
-        pairs = codec in ("latin-1", "cp1252")
         for i in range(n):
             gain, text = best[i]
             if gain == -math.inf:
                 continue
             edges = [(1, run[i], 0.0)]
-            if codes[i] >= 0:
-                size = _expected(codes[i])
-                if utf8 and size and i + size <= n and all(0x80 <= c < 0xC0 for c in codes[i + 1 : i + size]):
-                    try:
-                        ch = bytes(codes[i : i + size]).decode("utf-8")
-                        edges.append((size, ch, self.p(ch) - sum(map(self.p, run[i : i + size]))))
-                    except UnicodeDecodeError:
-                        pass
-                if pairs and i + 2 <= n and codes[i] >= 0xA1 and codes[i + 1] >= 0xA1:
-                    try:
-                        ch = bytes(codes[i : i + 2]).decode("gb2312")
-                        # a pair alone proves little, runs of them do: each costs a little less than it brings
-                        edges.append((2, ch, self.p(ch) - self.p(run[i]) - self.p(run[i + 1]) - (2.5 if n < 4 else 0.0)))
-                    except UnicodeDecodeError:
-                        pass
+            if pairs:
+                size = 2 if i + 2 <= n and codes[i] >= 0xA1 and codes[i + 1] >= 0xA1 else 0
+            else:
+                size = _expected(codes[i]) if codes[i] >= 0 else 0
+                if size and not (i + size <= n and all(0x80 <= c < 0xC0 for c in codes[i + 1 : i + size])):
+                    size = 0
+            if size:
+                try:
+                    ch = bytes(codes[i : i + size]).decode("gb2312" if pairs else "utf-8")
+                    # a pair alone proves little, runs of them do
+                    edges.append((size, ch, self.p(ch) - sum(map(self.p, run[i : i + size])) - (2.5 if pairs and n < 4 else 0.0)))
+                except UnicodeDecodeError:
+                    pass
             for size, ch, g in edges:
                 if gain + g > best[i + size][0]:
                     best[i + size] = (gain + g, text + ch)
         return best[n]
 
     def _wide(self, run: str, codec: str) -> tuple[float, str]:
-        """A run whose UTF-8 bytes were read as a two-byte encoding; bytes cut off at its end are lost."""
+        """A run whose UTF-8 bytes were read as a two-byte encoding; a sequence cut off at its end is lost."""
         try:
-            text = run.encode(codec).decode("utf-8", "ignore")
+            raw = run.encode(codec)
         except UnicodeEncodeError:
             return 0.0, run
-        lost = len(run.encode(codec)) - len(text.encode("utf-8"))
+        text, used = codecs.utf_8_decode(raw, "ignore", False)
+        if not text or raw[:used].decode("utf-8", "ignore").encode("utf-8") != raw[:used]:
+            return 0.0, run
         gain = sum(map(self.p, text)) - sum(map(self.p, run))
-        return (gain, text) if text and lost <= 2 and gain > 0 else (0.0, run)
-
-    def decode(self, word: str) -> tuple[float, str]:
-        """(gain, reading) of the likeliest way back through up to MOST_ROUNDS wrong decodings."""
+        return (gain, text) if gain > 0 else (0.0, run)
+
+    def _once(self, word: str, pairs: bool) -> tuple[float, str]:
+        """The likeliest single step back."""
+        options = [(0.0, word)]
+        if pairs:
+            tried = [(c, self._path) for c in ("latin-1", "cp1252")] if _PAIR.search(word) else []
+        else:
+            tried = [(c, self._path) for c in ASSUMED if _sequences(c).search(word)]
+            tried += [(c, self._wide) for c in ASSUMED_WIDE] if WIDE.search(word) else []
+        for codec, back in tried:
+            gain, out, end = 0.0, [], 0
+            for m in _BEYOND.finditer(word):
+                g, reading = back(m[0], codec, True) if pairs else back(m[0], codec)
+                gain += g
+                out += [word[end : m.start()], reading]
+                end = m.end()
+            options.append((gain, "".join(out) + word[end:]))
+        return max(options, key=lambda o: o[0])
+
+    def decode(self, word: str, pairs: bool = False) -> tuple[float, str]:
+        """(gain, reading) of the likeliest way back; each step leaves fewer bytes, so the steps end."""
         total = 0.0
-        for _ in range(MOST_ROUNDS):
-            options = []
-            for codec in (*ASSUMED, *ASSUMED_WIDE) if WIDE.search(word) else ASSUMED:
-                back = self._wide if codec in ASSUMED_WIDE else self._path
-                gain, out, end = 0.0, [], 0
-                for m in _BEYOND.finditer(word):
-                    g, reading = back(m[0], codec)
-                    gain += g
-                    out += [word[end : m.start()], reading]
-                    end = m.end()
-                options.append((gain, "".join(out) + word[end:]))
-            gain, reading = max(options, key=lambda o: o[0])
+        while True:
+            gain, reading = self._once(word, pairs)
             if gain <= 1.0 or reading == word:
-                break
+                return total, word
             total, word = total + gain, reading
-        return total, word
 
     def _readings(self, word: str) -> list[tuple[str, str, float]]:
-        """(kind, key, gain): 'read' a reading, 'alike' one that only word counts can prove, 'mask' a pattern with wildcards."""
+        """(kind, key, gain): 'read' a reading, 'alike' one that only word counts can prove, 'mask' a key of a lattice with wildcards."""
         out: list[tuple[str, str, float]] = []
         gain, reading = self.decode(word)
         if gain > 0 and reading != word:
             out.append(("read", reading, gain))
-        if WIDE.search(reading):
-            # a common UTF-8 sequence may have displaced a rare pair: word counts decide
-            runs = [self._path(r, "latin-1", utf8=False) for r in _BEYOND.findall(word)]
-            pairs = _BEYOND.sub(lambda m, it=iter(runs): next(it)[1], word)
-            if pairs not in (word, reading) and (more := sum(g for g, _ in runs)) > 0:
-                out.append(("read", pairs, more))
+        by_pairs, pairs = self.decode(word, True)
+        if by_pairs > 0 and pairs not in (word, reading):
+            out.append(("read", pairs, by_pairs))
         left = reading if gain > CLEARLY else word
-        if _DAMAGE.search(left) or any(c in LOST_LEADS for c in left):
+        if _DAMAGE.search(left) or (left != word and _LEAD.search(left)) or _DAMAGE.search(word):
             if len(left) > 1 or left == "â":
-                out += [("mask", key, gain) for key in traces(word, left)]
+                out += [("mask", key, max(gain, 0.0)) for key in traces(word, left)]
+        elif len(left) > 1 and _LEAD.search(left):
+            # nothing shows but that bytes may be missing: only words of the very same bytes are asked
+            out.append(("mask", "=" + _kept(left, 0x100), 0.0))
+        elif left == "â":
+            out += [("mask", key, 0.0) for key in traces(word, left)]
         if sum(1 for c in word if ord(c) > 127 and c.isalpha()) >= 3:
             seen = {word}
             for wrong in (*ASSUMED, "iso8859_5", "mac_cyrillic"):
@@ -174,8 +198,6 @@ class Channel:
                         if back not in seen and all(ord(c) < 128 or "Ѐ" < c <= "ё" for c in back):
                             seen.add(back)
                             out.append(("alike", back, 0.0))
-        if not out and _DAMAGE.search(word):
-            out += [("mask", key, 0.0) for key in traces(word, word)]
         return out
 
 
@@ -203,43 +225,67 @@ def traces(word: str, left: str) -> list[str]:
 
 
 def whole_traces(word: str) -> list[str]:
-    """The keys of traces() for a sound word; by its mask only where few characters are beyond ASCII."""
+    """The keys of traces() for a sound word; by its mask only where it has an ASCII part or is one character."""
     shape = zlib.crc32(mask(word).encode("utf-8", "surrogatepass"))
     out = {"=" + _kept(word, 0x80)} | {f"~{run[i : i + k]}{shape}" for run in _BEYOND.findall(word) for k in (1, 2, 3) for i in range(len(run) - k + 1)}
-    if sum(map(len, _BEYOND.findall(word))) <= 6 and (len(mask(word)) > 1 or len(word) == 1):
+    if len(mask(word)) > 1 or len(word) == 1:
         out.add(mask(word))
     return sorted(out)
 
 
-def fits(damaged: str, whole: str) -> bool:
-    """Whether a word may be the damaged one with its lost bytes back."""
+def wildcards(damaged: str, whole: str) -> float | None:
+    """Least cost of a path for ``whole`` through the lattice of a damaged word; None if there is none."""
     a, b = _BEYOND.findall(damaged), _BEYOND.findall(whole)
-    return len(a) == len(b) and all(_run_fits(x, y) for x, y in zip(a, b, strict=True))
-
-
-def _run_fits(damaged: str, whole: str) -> bool:
-    """A lost byte is a C1 control taken out of a UTF-8 sequence; U+FFFD stands for any one character."""
-
-    @lru_cache(None)
-    def go(i: int, j: int) -> bool:
-        if j == len(whole):
-            return i == len(damaged)
-        if i == len(damaged):
-            return False
-        if damaged[i] == "�" or damaged[i] == whole[j]:
-            return go(i + 1, j + 1) or (damaged[i] == "�" and go(i + 1, j))
-        raw = whole[j].encode("utf-8", "surrogatepass")
-        if byte_chars("latin-1").get(damaged[i]) == raw[0]:
-            k = i + 1
-            for b in raw[1:]:
-                if k < len(damaged) and byte_chars("latin-1").get(damaged[k]) == b:
-                    k += 1
-                elif b >= 0xA0:
-                    return False
-            return go(k, j + 1)
-        return False
-
-    return len(damaged) < 200 and len(whole) < 200 and go(0, 0)
+    if len(a) != len(b):
+        return None
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        if (cost := _run_cost(x, y)) is None:
+            return None
+        total += cost
+    return total
+
+
+def _run_cost(damaged: str, whole: str) -> float | None:
+    """Viterbi over one run: every character of the whole word is there, or as bytes of which C1 controls may be lost, or under U+FFFD.
+
+    U+FFFD stands for one byte or for any number of characters in a row.
+    """
+    n = len(damaged)
+    codes = [{byte_chars("latin-1").get(c, -1), byte_chars("cp1252").get(c, -1)} for c in damaged]
+    at = {0: 0.0}  # place in the damaged run -> least cost
+    for ch in whole:
+        new: dict[int, float] = {}
+
+        def reach(i: int, cost: float, new=new) -> None:
+            if cost < new.get(i, math.inf):
+                new[i] = cost
+
+        raw = ch.encode("utf-8", "surrogatepass")
+        for i, cost in at.items():
+            if i == n:
+                continue
+            if damaged[i] == ch:
+                reach(i + 1, cost)
+            if damaged[i] == "\ufffd":
+                reach(i + 1, cost + WILDCARD)
+                reach(i, cost + WILDCARD)
+            if raw[0] in codes[i] or (damaged[i] == "\ufffd" and len(raw) > 1):
+                states = {(i + 1, cost + (0.0 if raw[0] in codes[i] else WILDCARD))}
+                for byte in raw[1:]:
+                    after = set()
+                    for k, c in states:
+                        if k < n and byte in codes[k]:
+                            after.add((k + 1, c))
+                        elif k < n and damaged[k] == "\ufffd":
+                            after.add((k + 1, c + WILDCARD))
+                        if byte < 0xA0:
+                            after.add((k, c + LOST))
+                    states = after
+                for k, c in states:
+                    reach(k, c)
+        at = new
+    return at.get(n)
 
 
 _BREAKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
@@ -311,11 +357,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
         offers.where("kind <> 'mask'")
         .join(known, "key", "left")
         .withColumn("seen", F.coalesce("seen", F.lit(0)))
-        .where(
-            F.when(F.col("kind") == "read", F.col("gain") + F.log((F.col("seen") + 1) / (F.col("n") + 1)) > CLEARLY).otherwise(often)
-        )
-        .select("word", F.col("key").alias("fixed"), F.when(F.col("kind") == "read", F.col("gain")).otherwise(0.0).alias("gain"), "seen")
+        .where(F.when(F.col("kind") == "read", F.col("gain") + F.log((F.col("seen") + 1) / (F.col("n") + 1)) > CLEARLY).otherwise(often))
+        .select("word", F.col("key").alias("fixed"), F.when(F.col("seen") > 0, F.log("seen") + CERTAIN).otherwise(F.col("gain")).alias("score"), "seen")
     )
+
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, w, n, m) for w, n, m in zip(pdf["word"], pdf["n"], pdf["rows"], strict=True) for k in whole_traces(w)]
@@ -324,19 +369,24 @@ def garbled_words(words: DataFrame) -> DataFrame:
     # only sound words can fill wildcards
     fillers = words.where(~F.col("word").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).mapInPandas(fill, "key string, fixed string, seen long, seen_rows long")
 
-    @F.pandas_udf("boolean")
-    def fit(damaged: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([d != w and any(mask(x) == mask(w) and fits(x, w) for x in {_left(counts, d), d}) for d, w in zip(damaged, whole, strict=True)])
+    @F.pandas_udf("double")
+    def cost(damaged: pd.Series, whole: pd.Series) -> pd.Series:
+        out = []
+        for d, w in zip(damaged, whole, strict=True):
+            found = [wildcards(x, w) for x in {_left(counts, d), d} if mask(x) == mask(w)] if d != w else []
+            out.append(min((c for c in found if c is not None), default=None))
+        return pd.Series(out, dtype=object)
 
     filled = (
         offers.where("kind = 'mask'")
         .join(fillers, "key")
         .where(often)
-        .where(fit("word", "fixed"))
-        .select("word", "fixed", (F.col("gain") + 0.5).alias("gain"), "seen")
+        .withColumn("cost", cost("word", "fixed"))
+        .where("cost is not null")
+        .select("word", "fixed", (F.log("seen") - F.col("cost")).alias("score"), "seen")
     )
-    sure = words.where(F.col("word").rlike("[\\x{80}-\\x{84}\\x{86}-\\x{9f}\\x{fffd}]")).select("word", F.lit(None).cast("string").alias("fixed"), F.lit(-1.0).alias("gain"), F.lit(0).cast("bigint").alias("seen"))
-    best = F.max_by("fixed", F.struct(F.col("seen") > 0, "gain", "seen", "fixed"))
+    sure = words.where(F.col("word").rlike("[\\x{80}-\\x{84}\\x{86}-\\x{9f}\\x{fffd}]")).select("word", F.lit(None).cast("string").alias("fixed"), F.lit(-1.0).alias("score"), F.lit(0).cast("bigint").alias("seen"))
+    best = F.max_by("fixed", F.struct(F.col("seen") > 0, "score", "seen", "fixed"))
     return read.unionByName(filled).unionByName(sure).groupBy("word").agg(best.alias("fixed"))
 
 
@@ -420,5 +470,5 @@ def p10_restored(spark, sf_dir: str) -> DataFrame:
             out.append(re.sub("[^ \t\n\r\x0b\x0c]+", lambda m: known.get(m[0], m[0]), t))  # noqa: B023
         return pd.Series(out)
 
-    left = F.size(F.filter("fixes", lambda f: f["fixed"].isNull()))
+    left = F.size(F.filter("fixes", lambda f: f["fixed"].isNull() | f["fixed"].rlike("[\\x{80}-\\x{84}\\x{86}-\\x{9f}\\x{fffd}]")))
     return docs.join(fixes, "doc_id").select("doc_id", mend("text", "fixes").alias("restored"), left.cast("bigint").alias("unrestored"))
