@@ -172,6 +172,7 @@ def test_near_duplicates_by_brute_force(spark, rows):
     data += [(200, None), (201, ""), (202, "... !"), (203, "one"), (204, "ONE."), (204, "ONE."), (205, "оne")]
     got = rows(neardup.near_duplicates(table(spark, data), "id", "t"))
     assert got == sorted(brute_near(data), key=repr) and {(203, 204), (203, 205), (204, 205)} <= set(got)
+    assert rows(neardup.near_duplicates(table(spark, data), "id", "t", heavy=5)) == got
     assert neardup.near_duplicates(table(spark, []), "id", "t").count() == 0
 
 
