@@ -24,9 +24,14 @@ GREEK_LATIN = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
 }
-# Letters drawn alike that have no Latin twin, and ligatures.
-OTHER_TWINS = {"µ": "μ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-LATIN_OF = {**CYRILLIC_LATIN, **GREEK_LATIN}
+ARMENIAN_LATIN = {"Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O", "ց": "g", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "օ": "o", "զ": "q"}
+CHEROKEE_LATIN = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮞ": "4", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
+# Letters drawn alike that have no twin in another script, small capitals drawn like small letters, and ligatures.
+OTHER_TWINS = {"µ": "μ", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+LATIN_OF = {**CYRILLIC_LATIN, **GREEK_LATIN, **ARMENIAN_LATIN, **CHEROKEE_LATIN}
 EXTRA_DASHES = "−⁃﹣－"
 EXTRA_INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 LINE_SPACES = "\t\n\x0b\x0c\r\x85  "
@@ -47,6 +52,8 @@ def form_map() -> dict[int, str]:
             out[cp] = " "
         elif unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
             out[cp] = unicodedata.normalize("NFKC", ch)
+        elif unicodedata.decomposition(ch).startswith("<font>") and (plain := unicodedata.normalize("NFKC", ch)).isascii() and plain.isalnum():
+            out[cp] = plain  # letters and digits of mathematical alphabets
     for cp in range(0xE0000, 0xE0080):
         out[cp] = ""
     out.update({ord(c): " " for c in LINE_SPACES})

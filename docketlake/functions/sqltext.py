@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from docketlake.functions.charforms import form_map, skeleton_map
+from docketlake.functions.charforms import skeleton_map
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _mapped(col: str, chars: dict[int, str]) -> str:
+def mapped_sql(col: str, chars: dict[int, str]) -> str:
     src, dst, gone = [], [], []
     for cp, to in chars.items():
         if not to:
@@ -26,11 +26,6 @@ def _mapped(col: str, chars: dict[int, str]) -> str:
 
 def tdoc_sql(col: str) -> str:
     """canonical_tdoc as SQL."""
-    flat = f"upper({_mapped(col, {k: v for k, v in skeleton_map().items() if v == '' or (v.isascii() and (v.isalnum() or v in '- '))})})"
+    flat = f"upper({mapped_sql(col, {k: v for k, v in skeleton_map().items() if v == '' or (v.isascii() and (v.isalnum() or v in '- '))})})"
     raw = f"regexp_extract({flat}, '(^|[^A-Z0-9])([A-Z][0-9]-?[0-9]{{7}})([^0-9A-Z]|$)', 2)"
     return f"nullif(regexp_replace({raw}, '^([A-Z][0-9])([0-9]{{7}})$', '\\1-\\2'), '')"
-
-
-def look_sql(col: str) -> str:
-    """Texts are equal here exactly if their consistent forms are."""
-    return f"trim(nfc_normalize({_mapped(f'nfc_normalize({_mapped(col, form_map())})', skeleton_map())}))"
