@@ -1,11 +1,11 @@
 """Visually identical text with different characters, brought to one consistent form.
 
 Widths, ligatures, dashes, space-like and invisible characters are resolved by rule.
-Then every word with Greek or Cyrillic letters is looked at as a whole: each letter has a
+Then every word with Greek, Cyrillic, Armenian or Cherokee letters is looked at as a whole: each letter has a
 set of scripts in which a letter of the same look exists, the word's resolved script set
 is their intersection. An empty set marks a mixed-script word, a set with a script other
 than the letters' own a whole-script confusable. The word is spelled in the first of
-Latin, Cyrillic, Greek that is in its set; without any, letter by letter in the Latin
+``SCRIPTS`` that is in its set; without any, letter by letter in the Latin
 twin where there is one. The result depends only on the look, so words that look the
 same become equal. Case, accents, superscripts, subscripts stay.
 
@@ -24,19 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docketlake.functions.charforms import CYRILLIC_LATIN, GREEK_LATIN, LATIN_OF, form_map
-from docketlake.session import table
+from docketlake.functions.charforms import ARMENIAN_LATIN, CHEROKEE_LATIN, CYRILLIC_LATIN, GREEK_LATIN, LATIN_OF, form_map
+from docketlake.session import checkpoint, table
 
-SCRIPTS = ("Latin", "Cyrillic", "Greek")
+TWINS = {"Cyrillic": CYRILLIC_LATIN, "Greek": GREEK_LATIN, "Armenian": ARMENIAN_LATIN, "Cherokee": CHEROKEE_LATIN}
+SCRIPTS = ("Latin", *TWINS)
 _WORD = re.compile("[\\w\u0300-\u036f]+")
-_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u058f\u13a0-\u13ff]")
 
 
 @lru_cache(None)
 def _spellings() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
     """Letter -> its look (the Latin twin or itself); script -> look -> letter of that script."""
-    by_script: dict[str, dict[str, str]] = {"Latin": {v: v for v in LATIN_OF.values()}, "Cyrillic": {}, "Greek": {}}
-    for name, twins in (("Cyrillic", CYRILLIC_LATIN), ("Greek", GREEK_LATIN)):
+    by_script: dict[str, dict[str, str]] = {"Latin": {v: v for v in LATIN_OF.values()}, **{s: {} for s in TWINS}}
+    for name, twins in TWINS.items():
         for letter, latin in twins.items():
             by_script[name].setdefault(latin, letter)
     return dict(LATIN_OF), by_script
@@ -107,8 +108,8 @@ def same_look_pairs(rows: DataFrame, rid: str, text: str) -> DataFrame:
     Rows meet through the distinct stored spellings of a look, so copies of one spelling
     are never paired with each other, however many there are.
     """
-    r = rows.select(F.col(rid).alias("id"), F.md5(F.col(text)).alias("s"), F.md5(look(F.col(text))).alias("k")).where("s is not null")
-    r = r.dropDuplicates(["id"])
+    r = rows.select(F.col(rid).alias("id"), F.unhex(F.md5(F.col(text))).alias("s"), F.unhex(F.md5(look(F.col(text)))).alias("k")).where("s is not null")
+    r = checkpoint(r.dropDuplicates(["id"]))  # every form is made once
     odd = r.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("k")
     r = r.join(odd, "k", "left_semi")
     spellings = r.select("k", F.col("s").alias("other")).distinct()

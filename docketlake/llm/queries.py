@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docketlake.functions.sqltext import look_sql, tdoc_sql
+from docketlake.functions.charforms import form_map, skeleton_map
+from docketlake.functions.sqltext import mapped_sql, tdoc_sql
 from docketlake.llm import components, confusables, mojibake, names, neardup, packing, spans, tokens
 
 QUERIES = {
@@ -18,6 +19,12 @@ QUERIES = {
     "p10_restored": mojibake.p10_restored,
 }
 
+
+def look_sql(col: str) -> str:
+    """Texts are equal here exactly if their consistent forms are."""
+    return f"trim(nfc_normalize({mapped_sql(f'nfc_normalize({mapped_sql(col, form_map())})', skeleton_map())}))"
+
+
 _LOOKS = f"""
 looks AS (
   SELECT DISTINCT 'agenda' AS src_table, row_id AS id, tdoc AS stored, {look_sql("tdoc")} AS form FROM agenda WHERE tdoc IS NOT NULL
