@@ -71,24 +71,38 @@ def test_split_cell():
     assert len(split(long)) == 50_000
 
 
-def test_delimiters_are_inferred(spark):
-    names = [f"Name{i} Inc" for i in range(12)]
-    cells = [(n,) for n in names * 3] + [(f"{a}; {b}",) for a in names for b in names[:6]] + [(f"{a} x & y{b}",) for a in names for b in names]
-    df = spark.createDataFrame(cells, "cell string").withColumn("field", F.lit("f"))
-    got = packed.infer_delimiters(df, {"f": (",",)})
-    assert got == {"f": (",", ";")}
-    assert packed.infer_delimiters(df.where("false"), {"f": (",", "|")}) == {"f": (",", "|")}
+def test_delimiters_are_inferred_per_source(spark):
+    names = [f"Name{c} Inc" for c in "abcdefghijkl"]
+    cells = [("s", n) for n in names * 3] + [("s", f"{a}: {b}") for a in names for b in names[:6]] + [("t", f"{a} x & y{b}") for a in names for b in names] + [("t", f"q{a}: z{b}") for a in names for b in names[:3]]
+    df = spark.createDataFrame(cells, "source string, cell string").withColumn("field", F.lit("f"))
+    got = {(r.source, r.field): r.extra for r in packed.inferred_delimiters(df, {"f": (",",)}).collect()}
+    assert got == {("s", "f"): [":"]}  # in t neither sign has pieces that are values of their own
+    assert packed.inferred_delimiters(df, {"f": (",", ":")}).count() == packed.inferred_delimiters(df.where("false"), {"f": (",", "|")}).count() == 0
 
 
-def test_hot_cell_removes_and_adds_no_delimiter(spark):
+def test_hot_cell_adds_no_delimiter(spark):
     cells = [("Name1 Inc",), ("x",), ("y",)] + [("odd one | odd two",)] * 500 + [("x = y",)] * 500 + [(f"Name{i} Inc; Name{i + 1} Inc",) for i in range(20)]
-    df = spark.createDataFrame(cells, "cell string").withColumn("field", F.lit("f"))
-    assert packed.infer_delimiters(df, {"f": (";", "|")}) == {"f": (";", "|")}
+    df = spark.createDataFrame(cells, "cell string").withColumn("field", F.lit("f")).withColumn("source", F.lit("s"))
+    assert packed.inferred_delimiters(df, {"f": (";", "|")}).count() == 0
     assert {r.delim: r.n for r in packed.delimiter_scores(df).collect()} == {";": 40, "|": 2, "=": 2}
 
 
+def test_long_cells_count_with_all_their_pieces(spark):
+    df = spark.createDataFrame([("; ".join(f"a{i} b" for i in range(60)),)], "cell string").withColumn("field", F.lit("f")).withColumn("source", F.lit("s"))
+    assert [(r.delim, r.n, r.cells, r.consistency) for r in packed.delimiter_scores(df).collect()] == [(";", 60, 1.0, 1.0)]
+
+
+def test_plain_and_scanned_cells_split_alike(spark):
+    cells = [" A; B/C|D+E、F\tG\r\nH and I ", "Foo (x, y), Bar & Baz, B.V., Qux Co., Ltd., AB", "a,,b , ", ";", "x  and y; and z", "\u00a0a ; b\u3000", "ABC, ABle", "“a; b”; c", "p\u2003; q"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = {r.i: r.v for r in df.select("i", packed.split_values(F.col("c"), RULES).alias("v")).collect()}
+    assert got == {i: packed.split_cell(c, RULES) for i, c in enumerate(cells)}
+    own = {r.i: r.v for r in df.select("i", packed.split_values(F.col("c"), RULES, F.when(F.col("i") == 6, F.array(F.lit("B")))).alias("v")).collect()}
+    assert own[6] == ["A", "C", "A", "le"] and own[0] == got[0]
+
+
 def test_p2_counts_repeated_rows_once(spark, tmp_path):
-    spark.createDataFrame([(1, "A; B", None), (1, "A; B", None), (2, None, "x // y"), (3, "", " ")], "row_id bigint, source string, comments string").write.parquet(str(tmp_path / "agenda.parquet"))
+    spark.createDataFrame([(1, "A; B", None, "f"), (1, "A; B", None, "f"), (2, None, "x // y", None), (3, "", " ", "g")], "row_id bigint, source string, comments string, metadata_source string").write.parquet(str(tmp_path / "agenda.parquet"))
     spark.createDataFrame([("A Ltd.",)], "name string").write.parquet(str(tmp_path / "companies.parquet"))
     got = sorted(tuple(r) for r in packed.p2_found(spark, str(tmp_path)).collect())
     assert got == [(1, "source", 0, "A"), (1, "source", 1, "B"), (2, "comments", 0, "x"), (2, "comments", 1, "y")]
