@@ -34,9 +34,29 @@ orphans AS (
   HAVING NOT coalesce(bool_or(b <= at_time AND (e IS NULL OR at_time < e)), false)
 )"""
 
+_CASCADE = f"""{_ORPHANS},
+links AS (SELECT DISTINCT rel_id, {tdoc_sql("from_tdoc")} AS child, {tdoc_sql("to_tdoc")} AS parent, seen_at FROM relationships),
+seeds AS (
+  SELECT l.child AS node FROM links l JOIN orphans o ON o.src_table = 'relationships' AND o.record_id = l.rel_id
+  UNION SELECT {tdoc_sql("tdoc")} FROM agenda a JOIN orphans o ON o.src_table = 'agenda' AND o.record_id = a.row_id
+),
+-- a document is reached at many depths, of which the least counts
+walks(node, depth) AS (
+  SELECT node, 0 FROM seeds WHERE node IS NOT NULL
+  UNION SELECT l.child, w.depth + 1 FROM walks w JOIN links l ON l.parent = w.node WHERE l.child IS NOT NULL AND l.child <> l.parent AND w.depth < 60
+),
+nodes AS (SELECT node, min(depth) AS depth FROM walks GROUP BY node),
+cascade AS (
+  SELECT src_table, record_id, at_time, 'direct' AS kind, 0 AS depth, reason FROM orphans
+  UNION ALL
+  SELECT 'relationships', rel_id, seen_at, 'inherited', n.depth + 1, NULL FROM links l JOIN nodes n ON l.parent = n.node
+  WHERE NOT EXISTS (SELECT 1 FROM orphans o WHERE o.src_table = 'relationships' AND o.record_id = l.rel_id)
+)"""
+
 SQL = {
     **queries_sql.SQL,
     "p1_found": f"WITH {_ORPHANS} SELECT src_table, record_id, reason FROM orphans",
-    "p1_monthly": f"""WITH {_ORPHANS}
-SELECT src_table, strftime(at_time, '%Y-%m') AS month, reason, count(*) AS orphans FROM orphans GROUP BY ALL""",
+    "p1_cascade": f"WITH RECURSIVE {_CASCADE} SELECT src_table, record_id, kind, CAST(depth AS INT) AS depth, reason FROM cascade",
+    "p1_monthly": f"""WITH RECURSIVE {_CASCADE}
+SELECT src_table, strftime(at_time, '%Y-%m') AS month, kind, reason, count(*) AS orphans FROM cascade GROUP BY ALL""",
 }
