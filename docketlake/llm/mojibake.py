@@ -288,12 +288,16 @@ def _run_cost(damaged: str, whole: str) -> float | None:
     return at.get(n)
 
 
-_BREAKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
+_BREAKS = "\t\n\r\x0b\x0c"
 
 
 def odd_words(text: str) -> list[str]:
     """Words with a character beyond ASCII; a no-break space breaks no word."""
-    return [] if text.isascii() else [w for w in text.translate(_BREAKS).split(" ") if not w.isascii()]
+    if text.isascii():
+        return []
+    for c in _BREAKS:  # several times faster than translate()
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if not w.isascii()]
 
 
 def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

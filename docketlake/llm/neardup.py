@@ -5,8 +5,8 @@ words under one function, split into ``BLOCKS`` blocks: two fingerprints that di
 fewer symbols than there are blocks share one, whichever symbols they are. All words of a
 record take part alike, so that no kind of edit (new ids, typos, names, however rare) can
 take the blocks from the words that are left: whatever the edits are, two records of word
-similarity J share a block but with probability (1 - J^PER_BLOCK)^BLOCKS, 3.4e-6 at J = 0.7,
-7e-10 at J = 0.8. Records that share a block are verified by the Hamming distance of their
+similarity J share a block but with probability (1 - J^PER_BLOCK)^BLOCKS, 2.7e-7 at J = 0.7,
+6e-12 at J = 0.8. Records that share a block are verified by the Hamming distance of their
 sketches: a bit is the parity of the number of words hashed to it, so that the distance is
 never more than the number of words in which the records differ, and the bound that follows
 from both sizes and the similarity asked for rejects no true pair. An exact check of the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from docketlake.llm.confusables import consistent_form
 from docketlake.session import checkpoint, spread, table
 
-BLOCKS = 30
+BLOCKS = 36
 PER_BLOCK = 3
 BITS = 112  # of the sketch; 16 more hold the size
 HEAVY = 10_000
