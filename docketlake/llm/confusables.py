@@ -79,12 +79,31 @@ def respell(word: str) -> str:
 _respelled = lru_cache(200_000)(respell)
 
 
+@lru_cache(None)
+def _mapped() -> re.Pattern:
+    """Every character of the basic plane that form_map() changes; the search is several times faster than translate()."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in form_map() if c < 0x10000) + "]")
+
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _one_form(m: re.Match) -> str:
+    return form_map().get(ord(m[0]), m[0])
+
+
+def _resolved(text: str) -> str:
+    """Every character as form_map() has it."""
+    s = _mapped().sub(_one_form, text)
+    return _ASTRAL.sub(_one_form, s) if _ASTRAL.search(s) else s
+
+
 def consistent_form(text: str | None) -> str | None:
     if text is None:
         return None
     if text.isascii() and text.isprintable():
         return text.strip()
-    s = text.translate(form_map())
+    s = _resolved(text)
     if not s.isascii():
         s = unicodedata.normalize("NFC", s)
         if _FOREIGN.search(s):
@@ -99,7 +118,8 @@ def _form(texts: pd.Series) -> pd.Series:
 
 def look(text: Column) -> Column:
     """consistent_form of a column; plain ASCII stays in the JVM."""
-    return F.when(text.rlike(r"\A[\x20-\x7e]*\z"), F.trim(text)).otherwise(_form(text))
+    plain = text.rlike(r"\A[\x20-\x7e]*\z")
+    return F.when(plain, F.trim(text)).otherwise(_form(F.when(~plain, text)))
 
 
 def same_look_pairs(rows: DataFrame, rid: str, text: str) -> DataFrame:
