@@ -10,7 +10,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIFFED = ("revision_of", "input_to", "merged_into")
@@ -32,14 +32,19 @@ def version_pairs(edges: DataFrame) -> DataFrame:
     return edges.where("classification = 'candidate'").where(F.col("type").isin(*DIFFED)).select("src", "dst", "type").where("src <> dst").distinct()
 
 
+def _versions(index: DataFrame) -> DataFrame:
+    """(tdoc, h): the paragraph hashes of every document in order; deleted rows do not take part, repeated rows count once."""
+    rows = index.where("coalesce(change_state, '') <> 'deleted'").select("tdoc", *KEY, "paragraph_hash").where("tdoc is not null").distinct()
+    return rows.groupBy("tdoc").agg(F.array_sort(F.collect_list(F.struct(*KEY, F.xxhash64("paragraph_hash").alias("h")))).alias("p")).select("tdoc", F.transform("p", lambda x: x["h"]).alias("h"))
+
+
 def paragraph_diffs(edges: DataFrame, index: DataFrame) -> DataFrame:
     """(src, dst, type, block, operation, old_from, old_to, new_from, new_to): changed blocks, half-open positions from 0.
 
     Deleted rows do not take part, repeated rows count once. A pair with a side that has no
     paragraphs gives nothing; equal versions give no block.
     """
-    rows = index.where("coalesce(change_state, '') <> 'deleted'").select("tdoc", *KEY, "paragraph_hash").where("tdoc is not null").distinct()
-    texts = rows.groupBy("tdoc").agg(F.array_sort(F.collect_list(F.struct(*KEY, F.xxhash64("paragraph_hash").alias("h")))).alias("p")).select("tdoc", F.transform("p", lambda x: x["h"]).alias("h"))
+    texts = _versions(index)
     pairs = (
         version_pairs(edges)
         .join(texts.select(F.col("tdoc").alias("src"), F.col("h").alias("new")), "src")
@@ -50,11 +55,24 @@ def paragraph_diffs(edges: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.select("src", "dst", "type", "old", "new").mapInPandas(_blocks, schema)
 
 
+def patched(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """(src, dst, type, at, h): the old version of every pair after its blocks are put in, paragraph by paragraph; h is the stored paragraph hash."""
+    rows = index.where("coalesce(change_state, '') <> 'deleted'").select("tdoc", *KEY, "paragraph_hash").where("tdoc is not null").distinct()
+    order = Window.partitionBy("tdoc").orderBy(*KEY, F.xxhash64("paragraph_hash"))
+    numbered = rows.select("tdoc", (F.row_number().over(order) - 1).alias("at"), F.col("paragraph_hash").alias("h"))
+    pairs = ["src", "dst", "type"]
+    spans = blocks.groupBy(*pairs).agg(F.array_sort(F.collect_list(F.struct("block", "old_from", "old_to", "new_from", "new_to"))).alias("b"))
+    old = spans.join(numbered.withColumnRenamed("tdoc", "dst"), "dst").where(~F.exists("b", lambda x: (F.col("at") >= x["old_from"]) & (F.col("at") < x["old_to"])))
+    # a kept paragraph moves by what the blocks before it add
+    shift = F.aggregate(F.filter("b", lambda x: x["old_to"] <= F.col("at")), F.lit(0), lambda s, x: s + (x["new_to"] - x["new_from"]) - (x["old_to"] - x["old_from"]))
+    kept = old.select(*pairs, (F.col("at") + shift).alias("at"), "h")
+    added = spans.select(*pairs, F.explode("b").alias("x")).where("x.new_to > x.new_from").select(*pairs, F.explode(F.sequence(F.col("x.new_from"), F.col("x.new_to") - 1)).alias("at"))
+    return kept.unionByName(added.join(numbered.withColumnRenamed("tdoc", "src"), ["src", "at"]).select(*pairs, "at", "h"))
+
+
 def nested_diffs(blocks: DataFrame, index: DataFrame) -> DataFrame:
     """(src, dst, type, changes array<struct<operation, baseline, candidate>>) with locators and texts."""
     rows = index.where("coalesce(change_state, '') <> 'deleted'").where("tdoc is not null").select("tdoc", *KEY, "paragraph_hash", "text").dropDuplicates(["tdoc", *KEY, "paragraph_hash"])
-    from pyspark.sql import Window
-
     order = Window.partitionBy("tdoc").orderBy(*KEY, F.xxhash64("paragraph_hash"))
     numbered = rows.withColumn("at", F.row_number().over(order) - 1).select("tdoc", "at", "locator", "text")
     ids = ["src", "dst", "type", "block"]

@@ -2,8 +2,9 @@
 
 A file's rows are cut into buckets of ``BUCKET`` ordinals. What a bucket hands to its
 neighbours is aggregated map-side to a row per bucket, passed along that short list, and
-joined back, so no task sorts a whole hot file. Ties in the ordinal are broken by the row
-as JSON. Null keys form a file of their own.
+joined back, so no task sorts a whole hot file. Ties in the ordinal are broken by the columns
+named, else by a hash of the row, so that no text is part of a sort key. Null keys form a
+file of their own.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 BUCKET = 4096
 
 
-def _bucketed(rows: DataFrame, ordinal: str) -> DataFrame:
-    order = F.struct(F.col(ordinal), F.to_json(F.struct(*rows.columns)).alias("j"))
+def _bucketed(rows: DataFrame, ordinal: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    order = F.struct(F.col(ordinal), *(ties or (F.xxhash64(*rows.columns).alias("h"),)))
     return rows.withColumn("_bucket", F.floor(F.coalesce(F.col(ordinal), F.lit(0)) / BUCKET)).withColumn("_order", order)
 
 
@@ -38,10 +39,10 @@ def carry_last(rows: DataFrame, keys: list[str], ordinal: str, value: Column, na
     return r.join(came, _same(r, came, keys), "left").select(*columns, F.coalesce("_own", "_came").alias(name))
 
 
-def near_marked(rows: DataFrame, keys: list[str], ordinal: str, marked: Column, name: str) -> DataFrame:
+def near_marked(rows: DataFrame, keys: list[str], ordinal: str, marked: Column, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``name``: the row, or the one just before or after it in its file, is marked."""
     columns = rows.columns
-    r = _bucketed(rows.withColumn("_m", F.coalesce(marked, F.lit(False))), ordinal)
+    r = _bucketed(rows.withColumn("_m", F.coalesce(marked, F.lit(False))), ordinal, ties)
     ends = r.groupBy(*keys, "_bucket").agg(F.min_by("_m", "_order").alias("_first"), F.max_by("_m", "_order").alias("_last"))
     along = Window.partitionBy(*keys).orderBy("_bucket")
     came = ends.select(

@@ -28,9 +28,9 @@ def relevant(query: Query, text: str = "text", section: str = "section", mode: s
     return out
 
 
-def select_passages(index: DataFrame, query: Query, mode: str = "topic", keys: tuple[str, ...] = ("tdoc", "source", "inner_file"), ordinal: str = "ordinal") -> DataFrame:
+def select_passages(index: DataFrame, query: Query, mode: str = "topic", keys: tuple[str, ...] = ("tdoc", "source", "inner_file"), ordinal: str = "ordinal", ties: tuple[str, ...] = ()) -> DataFrame:
     """Relevant rows of a paragraph index and the one before and after each in its file."""
-    return near_marked(index, list(keys), ordinal, relevant(query, mode=mode), "_chosen").where("_chosen").drop("_chosen")
+    return near_marked(index, list(keys), ordinal, relevant(query, mode=mode), "_chosen", ties).where("_chosen").drop("_chosen")
 
 
 def mark_duplicates(rows: DataFrame, order: list[str], key: Column, text: str = "text", digest: str = "paragraph_hash") -> DataFrame:

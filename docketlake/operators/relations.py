@@ -94,12 +94,19 @@ def body_edges(paragraphs: DataFrame, own: str = "tdoc", text: str = "text", loc
             "locator",
             "text",
             F.lit(kind).alias("type"),
-            F.explode(F.arrays_zip(found_all(F.col("text"), pattern, 1).alias("hit"), found_all(F.col("text"), pattern, 0).alias("whole"))).alias("m"),
+            F.arrays_zip(found_all(F.col("text"), pattern, 1).alias("hit"), found_all(F.col("text"), pattern, 0).alias("whole")).alias("all"),
         )
         for kind, pattern in BODY_RELATIONS
     ]
-    e = reduce(DataFrame.unionByName, parts).select("*", "m.hit", "m.whole")
-    start = F.expr("locate(whole, text)")
+    # the matches of a pattern come in order, each begins behind the one before it
+    places = F.expr(
+        "aggregate(all, cast(array() as array<int>), (was, m) -> concat(was, array("
+        "locate(m.whole, text, if(size(was) = 0, 1, element_at(was, -1) + length(all[size(was) - 1].whole))))))"
+    )
+    e = reduce(DataFrame.unionByName, parts).where("size(all) > 0").withColumn("places", places)
+    e = e.select("src", "source", "locator", "text", "type", F.explode(F.arrays_zip("all", "places")).alias("m"))
+    e = e.select("src", "source", "locator", "text", "type", "m.all.hit", "m.all.whole", F.col("m.places").alias("start"))
+    start = F.col("start")
     cut = F.greatest(F.lit(1), start - 100)
     return (
         e.select(

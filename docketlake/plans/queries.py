@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketlake.functions import ids, text
 from docketlake.operators import agenda, coverage, diff, graph, passages, relations, resolve, scope
 from docketlake.session import table
-from docketlake.sources import cache, links, routing
+from docketlake.sources import cache, links, office, routing, writers
 from docketlake.streaming import resume, window
 
 QUERY = scope.Query("session anchor, AI intent")
@@ -73,7 +73,7 @@ def invalidated_edges(spark, d):
 def body_edges(spark, d):
     """Relations stated in the excerpts that the relationships keep."""
     r = table(spark, d, "relationships").dropDuplicates(["rel_id"]).select(ids.normalize_tdoc(F.col("from_tdoc")).alias("tdoc"), F.col("excerpt").alias("text"), "locator", "source")
-    return relations.body_edges(r).select("src", "dst", "type", "source", "locator", "excerpt").distinct()
+    return relations.body_edges(r).groupBy("src", "dst", "type", "source", "locator").agg(F.count("*").alias("statements"))
 
 
 def identifiers_extract(spark, d):
@@ -82,9 +82,9 @@ def identifiers_extract(spark, d):
 
 
 def stale_identifiers(spark, d):
-    """Paragraphs whose stored identifiers are not what their text holds."""
-    i = _index(spark, d).select("para_id", F.col("identifiers").alias("stored"), ids.identifiers(F.col("text")).alias("now"))
-    return i.where("not (stored <=> now)").select("para_id")
+    """Paragraphs whose stored identifiers or hash are not what their text holds."""
+    i = _index(spark, d).select("para_id", (~F.col("identifiers").eqNullSafe(ids.identifiers(F.col("text")))).alias("ids"), (~F.col("paragraph_hash").eqNullSafe(text.text_hash(F.col("text")))).alias("stale_hash"))
+    return i.select("para_id", F.col("ids").alias("stale_identifiers"), "stale_hash").where("stale_identifiers or stale_hash")
 
 
 def paragraph_hash(spark, d):
@@ -104,7 +104,7 @@ def document_lines(spark, d):
 
 
 def context_window(spark, d):
-    return passages.select_passages(_index(spark, d), QUERY, keys=("tdoc", "source", "inner_file")).select("para_id")
+    return passages.select_passages(_index(spark, d), QUERY, keys=("tdoc", "source", "inner_file"), ties=("para_id",)).select("para_id")
 
 
 def section_carry(spark, d):
@@ -182,17 +182,40 @@ def paragraph_diff(spark, d):
     return diff.paragraph_diffs(_stored_edges(spark, d), _index(spark, d))
 
 
+def paragraph_patch(spark, d):
+    """Every pair of versions that differ, with the paragraphs of the old one after its blocks are put in: those of the new one."""
+    index = _index(spark, d)
+    blocks = diff.paragraph_diffs(_stored_edges(spark, d), index)
+    return diff.patched(blocks, index).groupBy("src", "dst", "type").agg(F.count("*").alias("paragraphs"), F.sum("at").alias("places"), F.min("h").alias("least"), F.max("h").alias("greatest"))
+
+
 def unique_relationships(spark, d):
     return relations.unique_edges(_stored_edges(spark, d)).select("src", "dst", "type", "source", "locator")
 
 
+_SHAPES = (
+    ("public", "HTTPS://Docs.Example.org/ftp/{}?x=1#top"), ("public", "http://meetings.invalid/Report/{}"), ("private_mirror", "https://mirror.invalid/m/{}"), ("remote", "https://elsewhere.test:8080/a%20b/TdocsByAgenda.htm#{}"),
+    ("file_uri", "file:///srv/_older/agenda%20list/{}.xlsx"), ("local", "Inbox\\index\\{}"), ("public", "https://docs.example.org/ftp/tdoc_index/{}.CSV"), ("remote", "https://u@elsewhere.test/x+y/../{}"),
+)
+
+
+def _shaped(spark, d) -> DataFrame:
+    """Every listed source as an address of one of several shapes, by its entry."""
+    m = table(spark, d, "manifest").select("entry_id", "source").where("source is not null").dropDuplicates(["entry_id"])
+    n, out = F.pmod("entry_id", F.lit(len(_SHAPES))), None
+    for i, (_, form) in reversed(list(enumerate(_SHAPES))):
+        before, after = form.split("{}")
+        made = F.concat(F.lit(before), "source", F.lit(after))
+        out = made if out is None else F.when(n == i, made).otherwise(out)
+    return m.select("entry_id", "source", out.alias("url"))
+
+
 def source_parts(spark, d):
-    """Kind, key, priority, names and mirror places of every listed source, as an address of its host."""
-    m = table(spark, d, "manifest").select("source").distinct().select("source", F.concat(F.lit("HTTPS://Docs.Example.org/ftp/"), "source").alias("url"))
+    """Kind, key, priority, names and mirror places of every listed source, as an address of several shapes."""
     u = F.col("url")
-    return m.select(
-        "source",
-        routing.source_kind(u, HOSTS).alias("kind"),
+    return _shaped(spark, d).select(
+        "entry_id",
+        routing.source_kind(u, HOSTS, "https://mirror.invalid/m/").alias("kind"),
         routing.cache_key(u).alias("cache_key"),
         text.source_path(u).alias("path"),
         text.tdoc_from_name(u).alias("tdoc"),
@@ -203,6 +226,85 @@ def source_parts(spark, d):
     )
 
 
+def safe_paths(spark, d):
+    """Paths of the manifest as they are, quoted, with a step up, with an empty and with a dotted part."""
+    m = table(spark, d, "manifest").select("source").where("source is not null").distinct()
+    made = F.array("source", F.concat(F.lit("/a%20b/"), "source"), F.concat(F.lit("a\\\\.."), F.lit("/"), "source"), F.concat(F.lit("a//"), "source"), F.concat(F.lit("./"), "source"), F.concat(F.lit("%2e%2e/"), "source"), F.concat(F.lit("x+y/"), "source"))
+    p = m.select(F.explode(made).alias("path"))
+    return p.select("path", routing.safe_relative(F.col("path")).alias("safe"))
+
+
+def redacted_errors(spark, d):
+    """Error texts of the manifest, of which those of a mirror never show its place."""
+    m = table(spark, d, "manifest").dropDuplicates(["entry_id"]).select("entry_id", F.concat(F.coalesce("error", F.lit("OSError")), F.lit(" at https://mirror.invalid/m/"), F.coalesce("source", F.lit(""))).alias("message"), F.when(F.col("fallback_reason").isNotNull(), "private_mirror").otherwise("public").alias("kind"))
+    return m.select("entry_id", routing.redact(F.col("message"), F.col("kind"), "https://mirror.invalid/m/").alias("shown"))
+
+
+def host_failures(spark, d):
+    """Which attempts speak against the host: the statuses of the events, as attempts of every status."""
+    e = table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, (200, 304, 401, 403, 404, 407, 410, 429, 500, 503, 599))), (F.pmod("event_id", F.lit(11)) + 1).cast("int")).alias("http_status"), (F.col("event_type") == "error").alias("broken"))
+    return e.select("event_id", routing.host_failure(F.col("http_status"), F.col("broken")).alias("against_host"))
+
+
+def tdoc_validity(spark, d):
+    """Typed document numbers in plain form and whether they are numbers."""
+    a = table(spark, d, "agenda").dropDuplicates(["row_id"]).select("row_id", ids.normalize_tdoc(F.col("tdoc")).alias("tdoc"))
+    return a.select("row_id", "tdoc", ids.valid_tdoc(F.col("tdoc")).alias("valid"))
+
+
+def month_hints(spark, d):
+    """The month named with a meeting, in one of four ways of writing."""
+    m = table(spark, d, "meetings")
+    way = F.pmod(F.dayofmonth("start_date"), F.lit(4))
+    written = F.when(way == 0, F.date_format("start_date", "yyyy年M月")).when(way == 1, F.date_format("start_date", "yyyy-MM")).when(way == 2, F.date_format("start_date", "MMMM yyyy")).otherwise(F.date_format("start_date", "yyyy MMM"))
+    h = m.select("meeting", text.month_hint(F.concat(F.col("meeting"), F.lit(", "), written)).alias("h"))
+    return h.select("meeting", F.col("h.year").cast("bigint").alias("year"), F.col("h.month").cast("bigint").alias("month"))
+
+
+def header_names(spark, d):
+    """Column names as they are typed, in many spellings, and what they stand for."""
+    every = [(k, v) for k, vs in text.HEADERS.items() for v in vs]
+    m = table(spark, d, "meetings").select("meeting")
+    typed = F.explode(F.array(*(F.struct(F.lit(k).alias("means"), F.lit(f" {v[:2].upper()}-{v[2:]} .:").alias("typed")) for k, v in every), F.struct(F.lit(None).cast("string").alias("means"), F.lit("no such column").alias("typed"))))
+    t = m.select("meeting", typed.alias("t")).select("meeting", "t.typed")
+    return t.groupBy("typed", text.canonical_header(F.col("typed")).alias("means")).agg(F.count("*").alias("meetings"))
+
+
+def _read_back(spark, d, kind: str, zipped: bool = False) -> DataFrame:
+    """Agenda rows written as files of a kind and read again."""
+    a = table(spark, d, "agenda").dropDuplicates(["row_id"])
+    files = writers.written_files(a, kind, "row_id", ["tdoc", "title", "comments"], zipped)
+    return office.parse_files(files).select("path", "inner_file", "state", "kind", F.col("ordinal").cast("bigint").alias("ordinal"), "locator", "text", "change_state")
+
+
+def read_docx(spark, d):
+    return _read_back(spark, d, "docx")
+
+
+def read_pptx(spark, d):
+    return _read_back(spark, d, "pptx")
+
+
+def read_xlsx(spark, d):
+    return _read_back(spark, d, "xlsx")
+
+
+def read_csv(spark, d):
+    return _read_back(spark, d, "csv")
+
+
+def read_html(spark, d):
+    return _read_back(spark, d, "html")
+
+
+def read_text(spark, d):
+    return _read_back(spark, d, "txt")
+
+
+def read_archive(spark, d):
+    return _read_back(spark, d, "csv", True)
+
+
 def source_candidates(spark, d):
     m = table(spark, d, "manifest").select(F.concat(F.lit("https://docs.example.org/ftp/"), "source").alias("source"), (F.col("fallback_reason").isNotNull()).alias("down")).distinct()
     return routing.candidates(m, "source", HOSTS, "https://mirror.invalid/m/", F.col("down")).select("source", "down", F.col("rank").cast("bigint").alias("rank"), "effective", "kind")
@@ -227,7 +329,8 @@ def adaptive_window(spark, d):
 
 def cache_decisions(spark, d):
     m = table(spark, d, "manifest").dropDuplicates(["entry_id"])
-    log = m.select("entry_id", F.when(F.col("cache_state") == "hit", 304).otherwise(200).alias("http_status"), (F.col("state") != "fetch_error").alias("ok"), F.col("sha256").alias("cached_sha256"), F.col("sha256").alias("payload_sha256"), F.lit(False).alias("refresh"))
+    # every seventh payload has been damaged since, every fifth is asked for afresh
+    log = m.select("entry_id", F.when(F.col("cache_state") == "hit", 304).otherwise(200).alias("http_status"), (F.col("state") != "fetch_error").alias("ok"), F.col("sha256").alias("cached_sha256"), F.when(F.pmod("entry_id", F.lit(7)) == 0, F.reverse("sha256")).otherwise(F.col("sha256")).alias("payload_sha256"), (F.pmod("entry_id", F.lit(5)) == 0).alias("refresh"))
     return cache.fresh_or_stale(log).select("entry_id", "decision")
 
 
@@ -318,7 +421,8 @@ QUERIES = {
     for f in (
         agenda_records, header_fill, agenda_edges, invalidated_edges, body_edges, identifiers_extract, stale_identifiers, paragraph_hash, evidence_duplicates,
         document_lines, context_window, section_carry, match_score, company_scope, seed_scope, scoped_records, task_priority, core_stage, task_batches, task_sources,
-        distributions, run_coverage, closure_depth, query_terms, paragraph_diff, unique_relationships, source_parts, source_candidates, circuit_breaker,
+        distributions, run_coverage, closure_depth, query_terms, paragraph_diff, paragraph_patch, safe_paths, redacted_errors, host_failures, tdoc_validity, month_hints,
+        header_names, read_docx, read_pptx, read_xlsx, read_csv, read_html, read_text, read_archive, unique_relationships, source_parts, source_candidates, circuit_breaker,
         router_counters, adaptive_window, cache_decisions, resume_anti, run_signatures, calendar_order, month_match, meeting_ties, resolved_meetings,
         meeting_descriptors, page_links, excerpts, manifest_order, first_evidence, resumed_scope, company_mentions,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docketlake.functions.sqltext import tdoc_sql
 from docketlake.operators import orphans, packed
-from docketlake.plans import queries, queries_sql
+from docketlake.plans import more_sql, queries, queries_sql
 
 QUERIES = {
     **queries.QUERIES,
@@ -55,6 +55,7 @@ cascade AS (
 
 SQL = {
     **queries_sql.SQL,
+    **more_sql.SQL,
     "p1_found": f"WITH {_ORPHANS} SELECT src_table, record_id, reason FROM orphans",
     "p1_cascade": f"WITH RECURSIVE {_CASCADE} SELECT src_table, record_id, kind, CAST(depth AS INT) AS depth, reason FROM cascade",
     "p1_monthly": f"""WITH RECURSIVE {_CASCADE}
