@@ -9,7 +9,7 @@ from docketlake.plans.queries_sql import _SPACE, _fold, _hash, _norm
 
 _NUMBER = r"[A-Z]\p{Nd}[-–]?\p{Nd}{7}"
 _TDOC = rf"(?i)\b({_NUMBER})\b"
-_ALONE = rf"(?i)(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}_])({_NUMBER})(?:$|[^\p{{L}}\p{{M}}\p{{Nd}}_])"
+_ALONE = rf"(?i)(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}_\x{{200c}}\x{{200d}}])({_NUMBER})(?:$|[^\p{{L}}\p{{M}}\p{{Nd}}_\x{{200c}}\x{{200d}}])"
 
 
 def _re(pattern: str) -> str:
