@@ -153,3 +153,15 @@ def p6_forms(spark, sf_dir: str) -> DataFrame:
         for t, (rid, col) in FIELDS.items()
     ]
     return out[0].unionByName(out[1])
+
+
+def p6_classes(spark, sf_dir: str) -> DataFrame:
+    """(src_table, record_id, class_id, spellings): the records that look the same share the least of their ids; how many spellings the look has."""
+    out = None
+    for t, (rid, col) in FIELDS.items():
+        r = table(spark, sf_dir, t).select(F.col(rid).alias("record_id"), F.unhex(F.md5(F.col(col))).alias("s"), F.unhex(F.md5(look(F.col(col)))).alias("k")).where("s is not null").dropDuplicates(["record_id"])
+        r = checkpoint(r)
+        looks = r.groupBy("k", "s").agg(F.min("record_id").alias("least")).groupBy("k").agg(F.min("least").alias("class_id"), F.count("*").alias("spellings"))
+        part = r.join(looks, "k").select(F.lit(t).alias("src_table"), "record_id", "class_id", "spellings")
+        out = part if out is None else out.unionByName(part)
+    return out

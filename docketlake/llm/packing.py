@@ -115,3 +115,20 @@ def p9_pack(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = count_tokens(docs, "doc_id", "text", VOCABULARY)
     return pack(sizes, "doc_id", "tokens", rows=docs.count()).withColumnRenamed("item_id", "doc_id")
+
+
+def p9_audit(spark, sf_dir: str) -> DataFrame:
+    """One row: documents packed, and what must not be: containers beyond the capacity, pieces out of place, texts split without need, more than one per cent of containers beyond the least number."""
+    packed = p9_pack(spark, sf_dir)
+    docs = packed.groupBy("doc_id").agg(
+        F.count("*").alias("pieces"), F.sum("size").alias("total"), F.max("piece").alias("last"),
+        F.sum((F.col("start") != F.col("piece").cast("bigint") * CAPACITY).cast("int")).alias("moved"), F.sum(((F.col("size") < CAPACITY) & (F.col("piece") == 0)).cast("int")).alias("short_first"),
+    )
+    of_docs = docs.agg(
+        F.count("*").alias("documents"), F.count_if((F.col("moved") > 0) | (F.col("pieces") != F.col("last") + 1)).alias("misplaced"),
+        F.count_if((F.col("pieces") > 1) & ((F.col("total") <= CAPACITY) | (F.col("short_first") > 0))).alias("split_without_need"), F.sum("total").alias("tokens"),
+    )
+    bins = packed.groupBy("container").agg(F.sum("size").alias("used")).agg(F.count("*").alias("containers"), F.count_if(F.col("used") > CAPACITY).alias("overfull"))
+    both = of_docs.withColumn("_one", F.lit(1)).join(bins.withColumn("_one", F.lit(1)), "_one")  # one row each
+    least = F.ceil(F.col("tokens") / CAPACITY)
+    return both.select("documents", "misplaced", "split_without_need", "overfull", (F.col("containers") <= F.ceil(least * 1.01) + 1).alias("tight"))
