@@ -132,6 +132,7 @@ def group_code(group: Column) -> Column:
 
 def month_hint(text: Column) -> Column:
     """struct(year, month): 2026年5月, 2026-05, May 2026 or 2026 May, the first form that occurs."""
+    # The four ways in which a month is written, tried in this order.
     names = "|".join(sorted(MONTHS, key=len, reverse=True))
     number = F.create_map(*(x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))))
     forms = (
@@ -154,6 +155,7 @@ def meeting_descriptor(hint: Column) -> Column:
     Month names are taken out before the suffix is read, so ``SA5#167 May 2026`` has none.
     """
     text = collapse(F.replace(hint, F.lit("_"), F.lit("-")))
+    # The matching language of groups and meetings.
     group = r"(?iU)\b(SA|RAN|CT)\s*[-_ ]?\s*([1-6])\b"
     tsg = F.nullif(F.upper(F.regexp_extract(text, group, 1)), F.lit(""))
     names = "|".join(sorted(MONTHS, key=len, reverse=True))

@@ -45,6 +45,7 @@ def agenda_records(rows: DataFrame, file: str = "file", ordinal: str = "ordinal"
             fields["discussion"].alias("discussion"),
             F.col("file").alias("metadata_source"),
             F.concat(F.lit("row:"), "ordinal").alias("metadata_locator"),
+            F.array_join("cells", " | ", "").alias("text"),
             "ordinal",
         )
         .where("tdoc is not null")
@@ -53,21 +54,24 @@ def agenda_records(rows: DataFrame, file: str = "file", ordinal: str = "ordinal"
 
 
 def first_per_document(records: DataFrame, key: str = "tdoc", source: str = "metadata_source", ordinal: str = "ordinal") -> DataFrame:
-    """The record of the best source (priority, name, ordinal) of every document; ties go to the least row as JSON.
+    """The record of the best source (priority, name, ordinal) of every document; ties go to the least hash of the row.
 
     The pick is a map-side minimum, not a sort of a key's rows: a hot key costs a row per task.
     """
-    rank = F.struct(metadata_priority(F.col(source)).alias("p"), F.col(source).alias("s"), F.col(ordinal).alias("o"), F.to_json(F.struct(*records.columns)).alias("j"))
+    rank = F.struct(metadata_priority(F.col(source)).alias("p"), F.col(source).alias("s"), F.col(ordinal).alias("o"), F.xxhash64(*records.columns).alias("j"))
     best = records.groupBy(key).agg(F.min_by(F.struct(*records.columns), rank).alias("r"))
     return best.select("r.*")
 
 
 def best_sources(sources: DataFrame, group: str, source: str, most: int = 30) -> DataFrame:
-    """Per meeting the sources to read: the agenda page alone if there is one, else the first ``most`` by priority and name."""
+    """Adds priority and chosen: per meeting the agenda page alone if there is one, else the first ``most`` by priority and name.
+
+    What is not chosen stays as a row, so that a cut shows.
+    """
     s = sources.withColumn("priority", metadata_priority(F.col(source)))
     w = Window.partitionBy(group)
     s = s.withColumn("least", F.min("priority").over(w)).withColumn("n", F.row_number().over(w.orderBy("priority", source)))
-    return s.where(F.when(F.col("least") == 0, F.col("priority") == 0).otherwise(F.col("n") <= most)).drop("least", "n")
+    return s.withColumn("chosen", F.when(F.col("least") == 0, F.col("priority") == 0).otherwise(F.col("n") <= most)).drop("least", "n")
 
 
 def is_heading(text, style=None):

@@ -22,6 +22,23 @@ def calendar_order(calendar: DataFrame) -> DataFrame:
     return once.withColumn("order_no", F.row_number().over(w).cast("bigint"))
 
 
+def calendar_rows(rows: DataFrame) -> DataFrame:
+    """Calendar (wg code, meeting_no, suffix, start_date, end_date, meeting_kind, source) from table rows (wg, source, cells) of a group's calendar page.
+
+    A row counts if it names a meeting of the group and a date; the first date is the start, the second the end.
+    """
+    r = rows.select("wg", "source", F.array_join("cells", " ", "").alias("text"))
+    r = r.withColumn("m", F.expr(r"get(regexp_extract_all(text, concat('(?i)\\b', wg, '[-\\s]?([0-9]+(?:[-\\s]?[A-Za-z][A-Za-z0-9-]*)?)\\b'), 1), 0)"))
+    dates = F.transform(F.regexp_extract_all("text", F.lit(r"\b(20\d{2}[-\x{2010}-\x{2015}]\d{2}[-\x{2010}-\x{2015}]\d{2})\b"), F.lit(1)), lambda d: F.try_to_date(F.regexp_replace(d, r"[\x{2010}-\x{2015}]", "-"), "yyyy-MM-dd"))
+    r = r.withColumn("d", F.filter(dates, lambda d: d.isNotNull())).where("m is not null and size(d) > 0")
+    kind = F.when(F.col("text").rlike(r"(?i)\b(?:AHG|SWG)\b"), "subgroup").otherwise("working_group")
+    out = r.select(
+        "wg", F.regexp_extract("m", "^([0-9]+)", 1).alias("meeting_no"), F.nullif(F.lower(F.regexp_extract("m", r"^[0-9]+[-\s]?(.*)$", 1)), F.lit("")).alias("suffix"),
+        F.try_element_at("d", F.lit(1)).alias("start_date"), F.try_element_at("d", F.lit(2)).alias("end_date"), kind.alias("meeting_kind"), "source",
+    )
+    return out.dropDuplicates(["wg", "meeting_no", "suffix", "start_date"])
+
+
 def month_matches(hints: DataFrame, calendar: DataFrame) -> DataFrame:
     """hints (hint_id, wg code, year, month) with the calendar rows of that group and month."""
     c = calendar.withColumnRenamed("wg", "_wg")

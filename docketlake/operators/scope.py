@@ -18,6 +18,7 @@ from docketlake.functions.ids import KEY_ISSUE, SOLUTION, SOLUTION_VARIANT, TDOC
 from docketlake.functions.text import TOPIC_ALIASES, fold
 
 FIELDS = ("tdoc", "title", "source_company", "status", "agenda", "comments", "discussion")
+TEXT = "text"  # the row as a whole, where a record has it
 ID_KINDS = {"tdocs": TDOC, "key_issues": KEY_ISSUE, "solution_variants": SOLUTION_VARIANT, "solutions": SOLUTION}
 # Words that only name a kind of identifier.
 STRUCTURE_WORDS = ("ki", "key", "issue", "solution", "variant", "sv")
@@ -103,7 +104,8 @@ def direct_matches(records: DataFrame, query: Query) -> DataFrame:
         return records.where(F.col("tdoc").isin(*query.tdocs))
     if not query.terms and not query.companies:
         return records
-    return records.where(match_score(query) > 0)
+    fields = (*FIELDS, TEXT) if TEXT in records.columns else FIELDS
+    return records.where(match_score(query, fields) > 0)
 
 
 def scoped_records(related: DataFrame, records: DataFrame, matches: DataFrame, explicit: tuple[str, ...] = ()) -> DataFrame:

@@ -135,7 +135,7 @@ CASE WHEN reason IS NULL THEN 'high' WHEN starts_with(reason, 'several') THEN 'c
     "source_parts": rf"""WITH m AS (SELECT DISTINCT entry_id, source AS s, entry_id % 8 AS i FROM manifest WHERE source IS NOT NULL),
 u AS (SELECT entry_id, s,
   CASE i WHEN 0 THEN 'https://docs.example.org/ftp/' || s || '?x=1' WHEN 1 THEN 'http://meetings.invalid/Report/' || s WHEN 2 THEN 'https://mirror.invalid/m/' || s WHEN 3 THEN 'https://elsewhere.test:8080/a%20b/TdocsByAgenda.htm'
-    WHEN 4 THEN 'file:///srv/_older/agenda%20list/' || s || '.xlsx' WHEN 5 THEN 'Inbox\index\' || s WHEN 6 THEN 'https://docs.example.org/ftp/tdoc_index/' || s || '.CSV' ELSE 'https://u@elsewhere.test/x+y/../' || s END AS k,
+    WHEN 4 THEN 'file:///srv/_older/agenda%20list/' || s || '.xlsx' WHEN 5 THEN 'Inbox%5Cindex%5C' || s WHEN 6 THEN 'https://docs.example.org/ftp/tdoc_index/' || s || '.CSV' ELSE 'https://u@elsewhere.test/x%2By/../' || s END AS k,
   CASE i WHEN 0 THEN '/ftp/' || s WHEN 1 THEN '/Report/' || s WHEN 2 THEN '/m/' || s WHEN 3 THEN '/a b/TdocsByAgenda.htm' WHEN 4 THEN '/srv/_older/agenda list/' || s || '.xlsx'
     WHEN 5 THEN 'Inbox\index\' || s WHEN 6 THEN '/ftp/tdoc_index/' || s || '.CSV' ELSE '/x+y/../' || s END AS path,
   CASE i WHEN 2 THEN 'private_mirror' WHEN 3 THEN 'remote' WHEN 4 THEN 'file_uri' WHEN 5 THEN 'local' WHEN 7 THEN 'remote' ELSE 'public' END AS kind,

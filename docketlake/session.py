@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,23 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is empty (tests, one machine) a temporary folder is set.
+    Only on one machine, where that setting is empty, a temporary folder is set; a cluster without it is refused,
+    because the folder would be another one on every machine.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docketlake-checkpoints"))
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
-    """A broadcast hint only where the row count (given or counted) is within the bound."""
-    from pyspark.sql import functions as F
-
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Shuffle only where the scan gives fewer tasks than there are cores (one small file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.session import checkpoint
+from docketlake.sources import office
 from docketlake.sources.routing import cache_key
 from docketlake.streaming.resume import read_or_none
 
@@ -24,12 +26,17 @@ def unparsed(files: DataFrame, parsed: DataFrame | None) -> DataFrame:
     return files if parsed is None else files.join(parsed.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
-def cached_parse(files: DataFrame, root: str, parse) -> DataFrame:
-    """Rows of all files; only unknown contents are parsed, and added to the cache at root."""
-    spark, known = files.sparkSession, keyed(files)
-    new = parse(unparsed(known, read_or_none(spark, root)))
-    new.write.mode("append").partitionBy("parser_version").parquet(root)
-    return spark.read.parquet(root).join(known.select(*KEYS).distinct(), KEYS, "left_semi")
+def cached_parse(paths: DataFrame, root: str, place: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(rows of all files, files with sha256, body_bytes and cache_state); only unknown contents are parsed, and added to the cache at root."""
+    spark = paths.sparkSession
+    files = office.hashed(paths, place).withColumn("cache_key", cache_key(F.col("path"))).withColumn("parser_version", F.lit(PARSER_VERSION))
+    files = checkpoint(files)
+    known = read_or_none(spark, root)
+    new = checkpoint(unparsed(files, known).withColumn("new", F.lit(True)))
+    office.parse_paths(new.select("path", place, *KEYS) if place != "path" else new.select("path", *KEYS), place).drop(*({place} - {"path"})).write.mode("append").partitionBy("parser_version").parquet(root)
+    rows = spark.read.parquet(root).join(files.select(*KEYS).distinct(), KEYS, "left_semi")
+    state = F.when(F.col("sha256").isNull(), "not_requested").when(F.col("new"), "miss").otherwise("parsed_hit")
+    return rows, files.join(new.select(*KEYS, "new").distinct(), KEYS, "left").withColumn("cache_state", state).drop("new")
 
 
 def cache_info(files: DataFrame) -> DataFrame:

@@ -11,22 +11,95 @@ import hashlib
 import http.client
 import json
 import os
+import re
 import time
 import urllib.error
 import urllib.request
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from dataclasses import asdict, dataclass
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docketlake.operators.scope import positions
+from docketlake.session import checkpoint
+from docketlake.sources.office import decode_text, opened
+from docketlake.sources.routing import join_mirror
+from docketlake.streaming.window import STREAK
 
 CHUNK = 256 * 1024
 TIMEOUT = 45
 LOG_SCHEMA = (
     "source string, state string, path string, sha256 string, body_bytes long, resumed_bytes long, etag string, last_modified string, "
-    "http_status int, retry_count int, download_seconds double, pressure boolean, error string"
+    "http_status int, retry_count int, download_seconds double, pressure boolean, error string, effective string, fallback_reason string"
 )
+LOCK_WAIT, LOCK_STALE = 60.0, 900.0  # seconds
+WAVES = 200  # a fetch of any size adapts its width about so many times
+
+
+@dataclass(frozen=True)
+class Route:
+    """How addresses are fetched: public hosts that a mirror stands for, the mirror (an address or a folder), and how to ask."""
+
+    public_hosts: tuple[str, ...] = ()
+    mirror: str | None = None
+    retries: int = 3
+    refresh: bool = False
+    agent: str = "docketlake/1"
+    referer: str | None = None
+    wait: float = 1.0  # times the pauses between attempts
+
+
+class Router:
+    """The places of a source in the order to try them; a host that failed is left for its mirror by all later sources of the task."""
+
+    def __init__(self, route: Route):
+        self.route = route
+        self.down: set[str] = set()
+
+    def mirrored(self, source: str) -> list[str]:
+        parts = urlsplit(source)
+        if not self.route.mirror or (parts.hostname or "").lower() not in {h.lower() for h in self.route.public_hosts}:
+            return []
+        below = dict.fromkeys((parts.path, re.sub("(?i)^/ftp/", "/", parts.path)))
+        return [join_mirror(self.route.mirror, p) for p in below]
+
+    def candidates(self, source: str) -> list[str]:
+        below = self.mirrored(source)
+        return below if below and urlsplit(source).hostname in self.down else [source, *below]
+
+    def failed(self, source: str, t: Transfer) -> None:
+        if t.http_status is None or t.http_status in (401, 403, 407, 429) or t.http_status >= 500:
+            self.down.add(urlsplit(source).hostname)
+
+
+@contextmanager
+def locked(home: str, sleep: Callable[[float], None] = time.sleep):
+    """One writer for a payload: a lock file, waited for up to LOCK_WAIT, taken over when older than LOCK_STALE."""
+    name, until = os.path.join(home, "lock"), time.monotonic() + LOCK_WAIT
+    while True:
+        try:
+            os.close(os.open(name, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            break
+        except FileExistsError:
+            try:
+                if time.time() - os.path.getmtime(name) > LOCK_STALE:
+                    os.remove(name)
+                    continue
+            except FileNotFoundError:
+                continue
+            if time.monotonic() > until:
+                raise TimeoutError(f"payload is being written elsewhere: {home}") from None
+            sleep(0.1)
+    try:
+        yield
+    finally:
+        with suppress(FileNotFoundError):
+            os.remove(name)
 
 
 @dataclass
@@ -44,6 +117,8 @@ class Transfer:
     download_seconds: float = 0.0
     pressure: bool = False
     error: str | None = None
+    effective: str | None = None
+    fallback_reason: str | None = None
 
 
 def file_sha256(path: str) -> str:
@@ -67,18 +142,38 @@ def _meta(path: str) -> dict:
         return {}
 
 
-def fetch(source: str, folder: str, retries: int = 3, refresh: bool = False, sleep: Callable[[float], None] = time.sleep) -> Transfer:
+def fetch(source: str, folder: str, retries: int = 3, refresh: bool = False, sleep: Callable[[float], None] = time.sleep, headers: dict[str, str] | None = None) -> Transfer:
     """One file into folder/<key>/payload; a payload that is unchanged on the server is not sent again."""
-    t, began = Transfer(source), time.monotonic()
     home = os.path.join(folder, hashlib.sha256(source.encode()).hexdigest())
     os.makedirs(home, exist_ok=True)
+    if "://" not in source:
+        return _copied(source, home)
+    try:
+        with locked(home):
+            return _fetched(source, home, retries, refresh, sleep, headers or {})
+    except TimeoutError as e:
+        return Transfer(source, error=type(e).__name__, effective=source)
+
+
+def _copied(source: str, home: str) -> Transfer:
+    """A file of a mirror that is a folder stays where it is."""
+    t = Transfer(source, effective=source)
+    if os.path.isfile(source):
+        t.state, t.path, t.sha256, t.body_bytes = "local", source, file_sha256(source), os.path.getsize(source)
+    else:
+        t.error, t.http_status = "FileNotFoundError", 404
+    return t
+
+
+def _fetched(source: str, home: str, retries: int, refresh: bool, sleep: Callable[[float], None], own: dict[str, str]) -> Transfer:
+    t, began = Transfer(source, effective=source), time.monotonic()
     payload, partial, meta_path = (os.path.join(home, n) for n in ("payload", "partial", "meta.json"))
     kept = _meta(meta_path) if os.path.exists(payload) else {}
     if kept and file_sha256(payload) != kept.get("sha256"):
         kept = {}
     for attempt in range(retries + 1):
         t.retry_count = attempt
-        headers = {}
+        headers = dict(own)
         have = os.path.getsize(partial) if os.path.exists(partial) else 0
         tag = _meta(partial + ".json").get("etag")
         if have and tag:
@@ -146,11 +241,63 @@ def fetch_first(candidates: list[str], folder: str, retries: int = 3, sleep: Cal
     return log[-1], log
 
 
-def fetch_all(tasks: DataFrame, folder: str, concurrency: int, retries: int = 3) -> DataFrame:
+def routed(source: str, folder: str, router: Router, sleep: Callable[[float], None] = time.sleep) -> Transfer:
+    """A source by its places in turn; a failed host opens the circuit for the sources after it."""
+    route = router.route
+    headers = {"User-Agent": route.agent} | ({"Referer": route.referer} if route.referer else {})
+    last, reason = Transfer(source, error="no place"), None
+    for place in router.candidates(source):
+        last = fetch(place, folder, route.retries, route.refresh, lambda s: sleep(s * route.wait), headers)
+        if last.state != "fetch_error":
+            break
+        reason = reason or last.error
+        if place == source:
+            router.failed(source, last)
+    last.source = source
+    if last.state != "fetch_error" and last.effective != source:
+        last.fallback_reason = reason or "circuit_open"
+    return last
+
+
+def fetch_all(tasks: DataFrame, folder: str, concurrency: int, route: Route = Route()) -> DataFrame:
     """The transfer log of tasks (source); ``concurrency`` partitions fetch at a time, folder is shared by all executors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        router = Router(route)
         for pdf in batches:
-            yield pd.DataFrame([asdict(fetch(s, folder, retries)) for s in pdf["source"]], columns=[c.split()[0] for c in LOG_SCHEMA.split(", ")])
+            yield pd.DataFrame([asdict(routed(s, folder, router)) for s in pdf["source"]], columns=[c.split()[0] for c in LOG_SCHEMA.split(", ")])
 
     return tasks.select("source").where("source is not null").distinct().repartition(concurrency).mapInPandas(run, LOG_SCHEMA)
+
+
+def fetch_adaptive(tasks: DataFrame, folder: str, route: Route = Route(), most: int = 4) -> DataFrame:
+    """The transfer log of tasks (source), with ``width``: fetched in waves, whose width halves after pressure or a failure and grows by one, up to ``most``, after a wave without."""
+    todo = checkpoint(positions(tasks.select("source").where("source is not null").distinct(), ["source"]))
+    n, at, width, log = todo.count(), 0, most, None
+    while at < n or log is None:
+        size = max(width * STREAK, -(-n // WAVES))
+        wave = todo.where((F.col("position") >= at) & (F.col("position") < at + size))
+        done = checkpoint(fetch_all(wave, folder, width, route).withColumn("width", F.lit(width)))
+        log = done if log is None else log.unionByName(done)
+        bad = done.where("pressure or state = 'fetch_error'").count()
+        width = max(1, width // 2) if bad else min(most, width + 1)
+        at += size
+    return log
+
+
+def page_reader(folder: str, route: Route = Route(), concurrency: int = 4) -> Callable[[DataFrame], DataFrame]:
+    """What links.crawl asks for: directories (url) to pages (url, html); a page that cannot be read is null."""
+
+    def read(level: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            router = Router(route)
+            for pdf in batches:
+                pages = []
+                for url in pdf["url"]:
+                    t = routed(url, folder, router)
+                    pages.append((url, decode_text(opened(t.path)) if t.path else None, t.error))
+                yield pd.DataFrame(pages, columns=["url", "html", "error"])
+
+        return checkpoint(level.select("url").repartition(concurrency).mapInPandas(run, "url string, html string, error string"))
+
+    return read

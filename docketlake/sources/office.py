@@ -9,7 +9,9 @@ rows, their cells as an array, so a bar inside a cell shifts nothing.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from docketlake.functions.ids import identifiers
 from docketlake.functions.text import text_hash
@@ -36,8 +39,8 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 
 
-class Unsupported(Exception):
-    """A kind of file that is not read."""
+class TooLarge(Exception):
+    """A member that unpacks to more than MOST_MEMBER_BYTES."""
 
 
 def decode_text(raw: bytes) -> str:
@@ -59,7 +62,7 @@ def _squeeze(text: str) -> str:
 def _part(archive: zipfile.ZipFile, name: str) -> bytes:
     info = archive.getinfo(name)
     if info.file_size > MOST_MEMBER_BYTES:
-        raise Unsupported(f"{name} is too large")
+        raise TooLarge(name)
     return archive.read(info)
 
 
@@ -77,24 +80,52 @@ def _runs(node, deleted: bool = False, inserted: bool = False) -> Iterator[tuple
             yield from _runs(child, deleted or tag == f"{_W}del", inserted or tag == f"{_W}ins")
 
 
+def _cells(row) -> list[str]:
+    """Cells of a table row as they stand; deleted text is left out."""
+    return [_squeeze("".join(t for p in cell.iter(f"{_W}p") for t, gone, _ in [*_runs(p), (" ", False, False)] if not gone)) for cell in row.findall(f"{_W}tc")]
+
+
+def _paragraph(n: int, p) -> Iterator[dict]:
+    style = p.find(f"{_W}pPr/{_W}pStyle")
+    pieces = list(_runs(p))
+    kept = _squeeze("".join(t for t, gone, _ in pieces if not gone))
+    lost = _squeeze("".join(t for t, gone, _ in pieces if gone))
+    base = {"kind": "paragraph", "style": style.get(f"{_W}val") if style is not None else None}
+    if kept:
+        new = any(ins for t, gone, ins in pieces if t and not gone)
+        yield {**base, "locator": f"paragraph:{n}", "text": kept, "change_state": "inserted" if new else "current"}
+    if lost:
+        yield {**base, "locator": f"paragraph:{n}/deleted", "text": lost, "change_state": "deleted"}
+
+
 def read_docx(data: bytes) -> Iterator[dict]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        root = ElementTree.fromstring(_part(archive, "word/document.xml"))
-    for n, row in enumerate(root.iter(f"{_W}tr"), 1):
-        cells = [_squeeze("".join(t for p in cell.iter(f"{_W}p") for t, gone, _ in [*_runs(p), (" ", False, False)] if not gone)) for cell in row.findall(f"{_W}tc")]
+    """Table rows, then paragraphs, numbered in the order in which they begin. The body is read as a stream: what is done is let go."""
+    rows: dict[int, list[str]] = {}
+    paragraphs: dict[int, list[dict]] = {}
+    open_rows: list[int] = []
+    open_paragraphs: list[int] = []
+    begun = {f"{_W}tr": 0, f"{_W}p": 0}
+    with zipfile.ZipFile(io.BytesIO(data)) as archive, archive.open("word/document.xml") as body:
+        for event, node in ElementTree.iterparse(body, ("start", "end")):
+            if node.tag not in begun:
+                continue
+            opened = open_rows if node.tag == f"{_W}tr" else open_paragraphs
+            if event == "start":
+                begun[node.tag] += 1
+                opened.append(begun[node.tag])
+                continue
+            n = opened.pop()
+            if node.tag == f"{_W}tr":
+                rows[n] = _cells(node)
+            else:
+                paragraphs[n] = list(_paragraph(n, node))
+            if not open_rows and not open_paragraphs:
+                node.clear()
+    for n, cells in sorted(rows.items()):
         if any(cells):
             yield {"kind": "table-row", "locator": f"table-row:{n}", "text": " | ".join(cells), "cells": cells}
-    for n, p in enumerate(root.iter(f"{_W}p"), 1):
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        pieces = list(_runs(p))
-        kept = _squeeze("".join(t for t, gone, _ in pieces if not gone))
-        lost = _squeeze("".join(t for t, gone, _ in pieces if gone))
-        base = {"kind": "paragraph", "style": style.get(f"{_W}val") if style is not None else None}
-        if kept:
-            new = any(ins for t, gone, ins in pieces if t and not gone)
-            yield {**base, "locator": f"paragraph:{n}", "text": kept, "change_state": "inserted" if new else "current"}
-        if lost:
-            yield {**base, "locator": f"paragraph:{n}/deleted", "text": lost, "change_state": "deleted"}
+    for _, found in sorted(paragraphs.items()):
+        yield from found
 
 
 def _numbered(archive: zipfile.ZipFile, pattern: str) -> list[tuple[int, str]]:
@@ -206,7 +237,10 @@ def read_file(path: str, data: bytes, inner: str | None = None, depth: int = 0)
     inner = inner or path.rsplit("/", 1)[-1]
     suffix = inner.lower().rsplit(".", 1)[-1]
     base = {"path": path, "inner_file": inner}
-    if suffix == "zip" and depth < MOST_DEPTH:
+    if suffix == "zip" and depth >= MOST_DEPTH:
+        yield {**base, "state": "too_deep"}
+        return
+    if suffix == "zip":
         try:
             archive = zipfile.ZipFile(io.BytesIO(data))
         except zipfile.BadZipFile:
@@ -214,9 +248,10 @@ def read_file(path: str, data: bytes, inner: str | None = None, depth: int = 0)
             return
         with archive:
             for info, name in safe_members(archive):
+                if info.file_size > MOST_MEMBER_BYTES:
+                    yield {"path": path, "inner_file": name, "state": "too_large"}
+                    continue
                 try:
-                    if info.file_size > MOST_MEMBER_BYTES:
-                        raise Unsupported("too large")
                     content = archive.read(info)
                 except Exception as e:  # an encrypted or broken member is its own row
                     yield {"path": path, "inner_file": name, "state": f"parse_error:{e}"[:200]}
@@ -229,6 +264,9 @@ def read_file(path: str, data: bytes, inner: str | None = None, depth: int = 0)
         return
     try:
         rows = list(reader(data))
+    except TooLarge:
+        yield {**base, "state": "too_large"}
+        return
     except Exception as e:  # per-file state instead of a failed job
         yield {**base, "state": f"parse_error:{e}"[:200]}
         return
@@ -244,19 +282,90 @@ _COLUMNS = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            out: list[dict] = []
-            for row in read_file(path, bytes(content or b"")):
-                out.append(row)
-                if len(out) >= 5000:
-                    yield _frame(out)
-                    out = []
-            yield _frame(out)
+            yield from _frames(read_file(path, bytes(content or b"")))
+
 
+def _frames(rows: Iterator[dict], **same) -> Iterator[pd.DataFrame]:
+    """Rows in frames of some thousand; ``same`` are columns that all of them share."""
+    out: list[dict] = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= 5000:
+            yield _frame(out, same)
+            out = []
+    yield _frame(out, same)
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
+
+def _frame(rows: list[dict], same: dict) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=_COLUMNS).astype(object)
     frame["ordinal"] = frame["ordinal"].astype("Int32")
-    return frame.where(frame.notna(), None)
+    frame = frame.where(frame.notna(), None)
+    for name, value in same.items():
+        frame[name] = pd.Series([value] * len(frame), dtype=object)
+    return frame
+
+
+def opened(path: str) -> bytes:
+    """A file's content: a path of this machine, or an address of any file system that pyarrow knows."""
+    if re.match("(?i)file:", path):
+        path = re.sub("(?i)^file:/+", "/", path)
+    if "://" in path:
+        from pyarrow import fs
+
+        system, inside = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(inside) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def hashed(paths: DataFrame, place: str = "path") -> DataFrame:
+    """paths with sha256 and body_bytes of the file at ``place``; null where it cannot be read."""
+    names = [f.name for f in paths.schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for at in pdf[place]:
+                try:
+                    data = opened(at)
+                    found.append((hashlib.sha256(data).hexdigest(), len(data)))
+                except OSError:
+                    found.append((None, None))
+            out = pdf[names].copy()
+            out["sha256"] = [f[0] for f in found]
+            out["body_bytes"] = pd.array([f[1] for f in found], dtype="Int64")
+            yield out
+
+    schema = StructType([*paths.schema.fields, StructField("sha256", StringType()), StructField("body_bytes", LongType())])
+    return paths.mapInPandas(run, schema)
+
+
+def parse_paths(paths: DataFrame, place: str = "path") -> DataFrame:
+    """Located text of the files at ``place``, under the name ``path``; each row keeps the other columns of its file.
+
+    A file is opened by the task that parses it: no other file is read, and no content is shuffled.
+    """
+    kept = [f for f in paths.schema.fields if f.name not in ("path", *_COLUMNS)]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file in pdf.to_dict("records"):
+                same = {n: None if pd.isna(file[n]) else file[n] for n in names}
+                try:
+                    rows = read_file(file["path"], opened(file[place]))
+                except OSError as e:
+                    rows = iter([{"path": file["path"], "inner_file": file["path"].rsplit("/", 1)[-1], "state": f"read_error:{type(e).__name__}"}])
+                yield from _frames(rows, **same)
+
+    schema = StructType([*_parse_schema(SCHEMA), *kept])
+    return paths.mapInPandas(run, schema)
+
+
+def _parse_schema(text: str) -> list[StructField]:
+    kinds = {"string": StringType(), "int": IntegerType(), "array<string>": ArrayType(StringType())}
+    return [StructField(n, kinds[k]) for n, k in (c.strip().split(" ") for c in text.split(","))]
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,19 +385,19 @@ def directory_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def save_members(parsed_sources: DataFrame, out: str) -> DataFrame:
-    """(path, inner_file, saved_path): members of archives (path, content, tdoc) written below out/tdoc/ under their full inner path.
+    """(path, inner_file, saved_path): members of archives (path, tdoc, and content or place) written below out/tdoc/ under their full inner path.
 
     out is a folder that all executors share.
     """
-    import os
+    held_by = "content" if "content" in parsed_sources.columns else "place"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             saved = []
-            for path, content, tdoc in zip(pdf["path"], pdf["content"], pdf["tdoc"], strict=True):
+            for path, held, tdoc in zip(pdf["path"], pdf[held_by], pdf["tdoc"], strict=True):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(bytes(content or b"")))
-                except zipfile.BadZipFile:
+                    archive = zipfile.ZipFile(io.BytesIO(opened(held) if held_by == "place" else bytes(held or b"")))
+                except (zipfile.BadZipFile, OSError):
                     continue
                 with archive:
                     for info, name in safe_members(archive):
@@ -300,11 +409,11 @@ def save_members(parsed_sources: DataFrame, out: str) -> DataFrame:
                         saved.append((path, name, target))
             yield pd.DataFrame(saved, columns=["path", "inner_file", "saved_path"])
 
-    return parsed_sources.select("path", "content", "tdoc").mapInPandas(run, "path string, inner_file string, saved_path string")
+    return parsed_sources.select("path", held_by, "tdoc").mapInPandas(run, "path string, inner_file string, saved_path string")
 
 
 def read_files(spark: SparkSession, folder: str, paths: DataFrame | None = None, skip: tuple[str, ...] = ("/inbox/", "/_older/")) -> DataFrame:
-    """(path, content) below a folder, only of ``paths`` (path) if given."""
+    """(path, content) below a folder, only of ``paths`` (path) if given; every content is read, see parse_paths for chosen files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     for s in skip:
         files = files.where(~F.lower("path").contains(s))
@@ -316,13 +425,6 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_parse, SCHEMA)
 
 
-def parse_files_keyed(files: DataFrame) -> DataFrame:
-    """parse_files for files with cache keys (cache_key, sha256, parser_version), which every row keeps."""
-    keys = files.select(F.col("path").alias("_p"), "cache_key", "sha256", "parser_version")
-    rows = parse_files(files)
-    return rows.join(keys, F.col("path") == F.col("_p")).drop("_p")
-
-
 def document_index(parsed: DataFrame, tdoc, source) -> DataFrame:
     """Parsed rows as a paragraph index: section carried on, hash, identifiers."""
     rows = parsed.where("text is not null").select(tdoc.alias("tdoc"), source.alias("source"), "inner_file", "ordinal", "kind", "locator", "text", "change_state", "style")

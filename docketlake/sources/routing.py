@@ -9,7 +9,7 @@ from __future__ import annotations
 from pathlib import PurePosixPath, PureWindowsPath
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -90,11 +90,22 @@ def redact(message: Column, kind: Column, mirror: str | None) -> Column:
     return F.when(kind == "private_mirror", F.concat(F.lit("<private-mirror>: "), F.regexp_extract(shown, r"^(\w*)", 1))).otherwise(shown)
 
 
+def _quoted(path: Column) -> Column:
+    """A path with one way of quoting: letters, digits and ``_.-~/:@`` stand for themselves."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    out = F.url_encode(plain)
+    for code, sign in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%3A", ":"), ("%40", "@"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
 def cache_key(source: Column) -> Column:
-    """SHA-256 of an address with scheme and host in lower case and without fragment."""
+    """SHA-256 of an address with scheme and host in lower case, the path quoted in one way, without fragment."""
     bare = F.regexp_replace(source, "#.*$", "")
-    head = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
-    return F.sha2(F.concat(F.lower(head), F.substr(bare, F.length(head) + 1)), 256)
+    head = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/?]*)?)", 1)
+    rest = F.substr(bare, F.length(head) + 1)
+    path = F.regexp_extract(rest, r"^([^?]*)", 1)
+    return F.sha2(F.concat(F.lower(head), _quoted(path), F.substr(rest, F.length(path) + 1)), 256)
 
 
 def file_uri_to_path(uri: str, windows: bool = False) -> str:
@@ -120,9 +131,3 @@ def join_mirror(root: str, relative: str) -> str:
     if "?" in root or "#" in root:
         raise ValueError("a mirror has no query or fragment")
     return f"{root.rstrip('/')}/{plain}"
-
-
-def running_circuit(attempts: DataFrame, keys: list[str], order: list[str], failure: Column) -> DataFrame:
-    """circuit as a window, for short logs."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return attempts.withColumn("circuit_open", F.coalesce(F.max(failure).over(w), F.lit(False)))
