@@ -151,13 +151,16 @@ def shape(piece: Column) -> Column:
 def delimiter_scores(cells: DataFrame, legal: tuple[str, ...] = ()) -> DataFrame:
     """(source, field, delim, n, hits, cells, consistency, score) over the different cells of (source, field, cell)."""
     c = cells.select("source", "field", "cell").where("trim(cell) <> ''").distinct()
-    c = c.select("source", "field", F.regexp_replace(_masked(F.col("cell"), legal), "\r\n?", "\n").alias("m"))
+    # each step is made once a cell: explode keeps the optimizer from writing an expression into all its uses
+    made = lambda d, name, value: d.select("*", F.explode(F.array(value)).alias(name))
+    c = made(c, "m", F.regexp_replace(_masked(F.col("cell"), legal), "\r\n?", "\n")).drop("cell")
     here = F.filter(F.array(*map(F.lit, CANDIDATES)), lambda d: F.col("m").contains(d))
-    here = F.when(F.array_contains(here, "//"), F.array_remove(here, "/")).otherwise(here)
-    c = c.withColumn("here", here).where("size(here) < 2").withColumn("delim", F.coalesce(F.try_element_at("here", F.lit(1)), F.lit("")))
+    c = made(c, "h", here)
+    c = made(c, "here", F.when(F.array_contains("h", "//"), F.array_remove("h", "/")).otherwise(F.col("h"))).where("size(here) < 2")
+    c = made(c, "delim", F.coalesce(F.try_element_at("here", F.lit(1)), F.lit("")))
     # a piece that is cut off empty is none
     pieces = F.when(F.col("delim") == "", F.array("m")).otherwise(F.split("m", F.concat(F.lit("\\Q"), "delim", F.lit("\\E"))))
-    c = c.select("source", "field", "delim", F.filter(F.transform(pieces, shape), lambda p: p != "").alias("shapes"))
+    c = made(c, "shapes", F.filter(F.transform(pieces, shape), lambda p: p != ""))
     c = c.where((F.col("delim") == "") | (F.size("shapes") > 1)).select("source", "field", "delim", F.size("shapes").alias("pieces"), F.explode("shapes").alias("shape"))
     seen = c.groupBy("source", "field", "delim", "pieces", "shape").agg(F.count("*").alias("n"))
     whole = seen.where("delim = ''").select("field", "shape", F.lit(True).alias("known")).distinct()
