@@ -29,12 +29,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.session import checkpoint, spread, table
+from docketlake.session import checkpoint, table
 
 LEAST = 120
 GRAM = 60
 WINDOW = 61
 CONTEXTS = 64
+FILTER_BITS = 1 << 24
 _BASE = 0x9E3779B97F4A7C15
 _NO_HASH = np.zeros(0, np.uint64)
 
@@ -93,15 +94,24 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_ints(np.concatenate(found)), pa.array(np.concatenate(owner))], ["anchor", "tid"])
 
 
-def _contexts(reach: int):
-    """(text, tid, anchors) to (anchor, tid, at, off, around): each shared anchor's place and its text with ``reach`` characters on both sides."""
+def anchor_filter(anchors_: DataFrame) -> np.ndarray:
+    """A bit for each value of an anchor's last bits, FILTER_BITS bits whatever the input: what it lets pass still meets an exact join."""
+    bits = np.zeros(FILTER_BITS, np.bool_)
+    bits[anchors_.select(F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _contexts(reach: int, passes):
+    """(text, tid) to (anchor, tid, at, off, around): the place of each anchor that the filter lets pass, and its text with ``reach`` characters on both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = passes.value
         for batch in batches:
             found, owner, places, offs, around = [_NO_HASH], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for t, tid, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for t, tid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, hashes = anchors(t)
-                good = np.isin(hashes.view(np.int64), shared.values.to_numpy(zero_copy_only=False))
+                low = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                good = (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(np.bool_)
                 at = at[good]
                 found.append(hashes[good])
                 owner.append(np.full(len(at), tid, np.int64))
@@ -175,11 +185,12 @@ def shared_spans(records: DataFrame, rid: str, text: str, least: int = LEAST, co
         raise ValueError(f"least must be {GRAM + WINDOW - 1} or more")
     rows = records.select(F.col(rid).alias("id"), F.col(text).alias("text"), F.md5(F.col(text)).alias("key")).where(F.length("text") >= least)
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("tid"), F.max("id").alias("top")).persist(StorageLevel.MEMORY_AND_DISK)
-    seeds = spread(texts.select("text", "tid")).mapInArrow(_seeds, "anchor bigint, tid bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = seeds.groupBy("anchor").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("anchor")
-    of_text = seeds.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))  # at most a text's own anchors
-    places = texts.select("text", "tid").join(of_text, "tid").select("text", "tid", "anchors")
-    places = places.mapInArrow(_contexts(reach), "anchor bigint, tid bigint, at bigint, off bigint, around string")
+    seeds = texts.select("text", "tid").mapInArrow(_seeds, "anchor bigint, tid bigint")
+    shared = seeds.groupBy("anchor").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("anchor").persist(StorageLevel.MEMORY_AND_DISK)
+    # texts stay where they are: the filter tells them which anchors are worth a context, the join which of these are shared
+    passes = records.sparkSession.sparkContext.broadcast(anchor_filter(shared))
+    places = texts.select("text", "tid").mapInArrow(_contexts(reach, passes), "anchor bigint, tid bigint, at bigint, off bigint, around string")
+    places = places.join(shared, "anchor", "left_semi")
     places = places.withColumn("h", F.xxhash64("around", "off")).persist(StorageLevel.MEMORY_AND_DISK)
     different = places.groupBy("anchor", "off", "around", "h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"))
     groups = different.groupBy("anchor").agg(F.count("*").alias("n"))
@@ -195,7 +206,7 @@ def shared_spans(records: DataFrame, rid: str, text: str, least: int = LEAST, co
     covered = matches.select("tid", repeats["n"].alias("chars"))
     chars = texts.join(covered, "tid", "left").select("key", F.when(F.col("tid") < F.col("top"), F.length("text")).otherwise(F.col("chars")).cast("int").alias("shared_chars"))
     out = checkpoint(rows.select("id", "key").distinct().join(chars.where("shared_chars is not null"), "key").select(F.col("id").alias("record_id"), "shared_chars"))
-    for kept in (texts, seeds, places, different):
+    for kept in (texts, shared, places, different):
         kept.unpersist()
     return out
 
