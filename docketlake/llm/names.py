@@ -431,7 +431,7 @@ def link_names(values: DataFrame, value: str, register: DataFrame, trie_names: i
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
     reg = table(spark, sf_dir, "companies").withColumnRenamed("company_id", "entry_id")
-    cells = agenda_values(spark, sf_dir, ("source",)).select("row_id", "pos", "value")
+    cells = checkpoint(agenda_values(spark, sf_dir, ("source",)).select("row_id", "pos", "value"))  # split once for both uses
     links = link_names(cells, "value", reg)
     names = reg.select("entry_id", "name")
     links = links.join(names, "entry_id").where("value <> name").select("value", F.col("entry_id").alias("company_id"))
