@@ -371,7 +371,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "fixed", "seen", "seen_rows"])
 
     # only sound words can fill wildcards
-    fillers = words.where(~F.col("word").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).mapInPandas(fill, "key string, fixed string, seen long, seen_rows long")
+    fillers = even(words.where(~F.col("word").rlike("[\\x{80}-\\x{9f}\\x{fffd}]"))).mapInPandas(fill, "key string, fixed string, seen long, seen_rows long")
 
     @F.pandas_udf("double")
     def cost(damaged: pd.Series, whole: pd.Series) -> pd.Series:
