@@ -118,7 +118,7 @@ def p9_pack(spark, sf_dir: str) -> DataFrame:
 
 
 def p9_audit(spark, sf_dir: str) -> DataFrame:
-    """One row: documents packed, and what must not be: containers beyond the capacity, pieces out of place, texts split without need, more than one per cent of containers beyond the least number."""
+    """One row (none without documents): documents packed, and what must not be: containers beyond the capacity, pieces out of place, texts split without need, more than one per cent of containers beyond the least number."""
     packed = p9_pack(spark, sf_dir)
     docs = packed.groupBy("doc_id").agg(
         F.count("*").alias("pieces"), F.sum("size").alias("total"), F.max("piece").alias("last"),
@@ -131,4 +131,4 @@ def p9_audit(spark, sf_dir: str) -> DataFrame:
     bins = packed.groupBy("container").agg(F.sum("size").alias("used")).agg(F.count("*").alias("containers"), F.count_if(F.col("used") > CAPACITY).alias("overfull"))
     both = of_docs.withColumn("_one", F.lit(1)).join(bins.withColumn("_one", F.lit(1)), "_one")  # one row each
     least = F.ceil(F.col("tokens") / CAPACITY)
-    return both.select("documents", "misplaced", "split_without_need", "overfull", (F.col("containers") <= F.ceil(least * 1.01) + 1).alias("tight"))
+    return both.where("documents > 0").select("documents", "misplaced", "split_without_need", "overfull", (F.col("containers") <= F.ceil(least * 1.01) + 1).alias("tight"))

@@ -67,7 +67,7 @@ SELECT a.src_table, a.id AS id_a, b.id AS id_b FROM looks a JOIN looks b ON a.sr
 WITH {_LOOKS}
 SELECT src_table, id AS record_id, min(id) OVER w AS class_id, (SELECT count(DISTINCT stored) FROM looks b WHERE b.src_table = looks.src_table AND b.form = looks.form) AS spellings
 FROM looks WINDOW w AS (PARTITION BY src_table, form)""",
-    "p9_audit": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS split_without_need, CAST(0 AS BIGINT) AS overfull, true AS tight FROM documents",
+    "p9_audit": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS split_without_need, CAST(0 AS BIGINT) AS overfull, true AS tight FROM documents HAVING count(*) > 0",
     "p7_found": f"""
 WITH {_WORDS}
 SELECT a.src_table, a.id AS id_a, b.id AS id_b FROM sets a JOIN sets b ON a.src_table = b.src_table AND a.id < b.id
