@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -186,34 +186,48 @@ def with_generic(register: DataFrame) -> DataFrame:
     return register.join(own, "entry_id", "left")
 
 
-def assign(options: list[list[tuple[float, int]]], places: int) -> float | None:
-    """Least cost of giving every row a place of its own, by successive shortest augmenting paths; options are (cost, place)."""
-    inf = math.inf
-    cost = [dict((k, c) for c, k in reversed(opts)) for opts in options]
-    held, rows_up, places_up = [-1] * places, [0.0] * len(cost), [0.0] * places
-    for row in range(len(cost)):
-        dist, came, done = [inf] * places, [-1] * places, [False] * places
-        i, at, base = row, -1, 0.0
-        while True:
-            for k, c in cost[i].items():
-                if not done[k] and (d := base + c - rows_up[i] - places_up[k]) < dist[k]:
-                    dist[k], came[k] = d, at
-            at = min((k for k in range(places) if not done[k]), key=dist.__getitem__, default=-1)
-            if at < 0 or dist[at] == inf:
-                return None
-            done[at], base = True, dist[at]
-            if held[at] < 0:
-                break
-            i = held[at]
-        rows_up[row] += base
-        for k in range(places):
-            if done[k] and k != at:
-                rows_up[held[k]] += base - dist[k]
-                places_up[k] -= base - dist[k]
-        while at >= 0:
-            held[at] = held[came[at]] if came[at] >= 0 else row
-            at = came[at]
-    return sum(cost[i][k] for k, i in enumerate(held) if i >= 0)
+def assign(options: list[list[tuple[float, int]]], supply: list[int], room: list[int]) -> float | None:
+    """Least cost of giving every one of ``supply`` equal rows a place, of which there are ``room`` equal ones; options are (cost, place).
+
+    A cheapest flow by shortest augmenting paths; repeated words are one row with a number, so long names of few different words are short here.
+    """
+    rows, places = len(supply), len(room)
+    flow: list[dict[int, int]] = [{} for _ in range(places)]  # place -> row -> how many
+    cost = [{k: c for c, k in reversed(sorted(opts))} for opts in options]
+    left, free, total = list(supply), list(room), 0.0
+    while any(left):
+        # nodes: rows, then places; from every row that still has some
+        dist = [0.0 if n else math.inf for n in left] + [math.inf] * places
+        came = [-1] * (rows + places)
+        queue = deque(i for i in range(rows) if left[i])
+        waits = set(queue)
+        while queue:
+            u = queue.popleft()
+            waits.discard(u)
+            steps = ((rows + k, c) for k, c in cost[u].items()) if u < rows else ((i, -cost[i][u - rows]) for i, n in flow[u - rows].items() if n)
+            for v, c in steps:
+                if dist[u] + c < dist[v] - 1e-9:
+                    dist[v], came[v] = dist[u] + c, u
+                    if v not in waits:
+                        waits.add(v)
+                        queue.append(v)
+        end = min((k for k in range(places) if free[k]), key=lambda k: dist[rows + k], default=-1)
+        if end < 0 or dist[rows + end] == math.inf:
+            return None
+        path = [rows + end]
+        while came[path[-1]] >= 0:
+            path.append(came[path[-1]])
+        path.reverse()
+        n = min(left[path[0]], free[end], *(flow[u - rows][v] for u, v in zip(path, path[1:]) if u >= rows))
+        for u, v in zip(path, path[1:]):
+            if u < rows:
+                flow[v - rows][u] = flow[v - rows].get(u, 0) + n
+            else:
+                flow[u - rows][v] -= n
+        left[path[0]] -= n
+        free[end] -= n
+        total += n * dist[rows + end]
+    return total
 
 
 def _acronym(words: list[str], kind: str) -> str | None:
@@ -262,33 +276,45 @@ class Register:
         _, words, own_legal, kind = entry
         if len(typed) > len(words):
             return None
-        options = []
-        for t in typed:
+        places = Counter(words)
+        kinds, room = list(places), list(places.values())
+        rows = Counter(typed)
+        # a word that is missing costs; one that is there saves that
+        worth = [0.5 if w in self.generic else 1.5 for w in kinds]
+        saved = []
+        for t in rows:
             near = self.near_word(t)
-            opts = [(near[w], k) for k, w in enumerate(words) if w in near]
+            opts = [(near[w] - worth[k], k) for k, w in enumerate(kinds) if w in near]
             if len(t) == 1:
-                opts += [(0.4, k) for k, w in enumerate(words) if w[0] == t and (kind == "delegate" or w in self.generic)]
+                opts += [(0.4 - worth[k], k) for k, w in enumerate(kinds) if w[0] == t and (kind == "delegate" or w in self.generic)]
             if not opts:
                 return None
-            options.append(sorted(opts))
-        # a word that is missing costs; one that is there saves that
-        worth = [0.5 if w in self.generic else 1.5 for w in words]
-        proper = {k for k, w in enumerate(words) if w not in self.generic}
-        saved = [sorted((c - worth[k], k) for c, k in opts) for opts in options]
-        firsts = {opts[0][1] for opts in saved}
-        if len(firsts) == len(saved):  # each takes the place it fits best
-            best, used = sum(opts[0][0] for opts in saved), firsts
+            saved.append(sorted(opts))
+        supply = list(rows.values())
+        proper = {k for k, w in enumerate(kinds) if w not in self.generic}
+        wanted = Counter()
+        for opts, n in zip(saved, supply, strict=True):
+            wanted[opts[0][1]] += n
+        if all(n <= room[k] for k, n in wanted.items()):  # each takes the place it fits best
+            best, used = sum(opts[0][0] * n for opts, n in zip(saved, supply, strict=True)), set(wanted)
         else:
-            best, used = assign(saved, len(words)), None
+            best, used = assign(saved, supply, room), None
         if best is None:
             return None
+        if not proper:
+            return None
         if used is None or not used & proper:
             # part of the name proper must be there: one of the typed words takes such a place
-            forced = [assign([*saved[:i], [(c, k)], *saved[i + 1 :]], len(words)) for i, opts in enumerate(saved) for c, k in opts if k in proper]
+            forced = []
+            for i, opts in enumerate(saved):
+                for c, k in opts:
+                    if k in proper:
+                        rest = assign(saved, [n - (j == i) for j, n in enumerate(supply)], [n - (j == k) for j, n in enumerate(room)])
+                        forced.append(None if rest is None else c + rest)
             best = min((f for f in forced if f is not None), default=None)
             if best is None:
                 return None
-        total = best + sum(worth)
+        total = best + sum(w * n for w, n in zip(worth, room, strict=True))
         if legal != own_legal:
             total += 0.2 if not legal else 1.2 if own_legal else 1.0
         return total
