@@ -248,6 +248,7 @@ class Register:
             for w in words:
                 holders[w].add(i)
         self.holders = holders
+        self.laid = [self._laid(words) for _, words, _, _ in self.entries]
         self.acronyms = defaultdict(set)
         for eid, words, _, kind in self.entries:
             if short := _acronym(words, kind):
@@ -271,16 +272,21 @@ class Register:
                 out[w] = 0.3
         return out
 
-    def _cost(self, typed: list[str], legal: str, entry: tuple) -> float | None:
-        """Words laid over the entry's words in any order; None if one is left over."""
-        _, words, own_legal, kind = entry
-        if len(typed) > len(words):
-            return None
+    def _laid(self, words: list[str]) -> tuple:
+        """An entry's different words, how many of each, what each is worth, which are proper, and what all are worth."""
         places = Counter(words)
-        kinds, room = list(places), list(places.values())
-        rows = Counter(typed)
         # a word that is missing costs; one that is there saves that
-        worth = [0.5 if w in self.generic else 1.5 for w in kinds]
+        worth = [0.5 if w in self.generic else 1.5 for w in places]
+        return list(places), list(places.values()), worth, {k for k, w in enumerate(places) if w not in self.generic}, sum(w * n for w, n in zip(worth, places.values(), strict=True))
+
+    def _cost(self, rows: dict[str, int], size: int, legal: str, i: int) -> float | None:
+        """Words (with their number) laid over an entry's words in any order; None if one is left over."""
+        _, words, own_legal, kind = self.entries[i]
+        if size > len(words):
+            return None
+        kinds, room, worth, proper, all_worth = self.laid[i]
+        if not proper:
+            return None
         saved = []
         for t in rows:
             near = self.near_word(t)
@@ -289,20 +295,18 @@ class Register:
                 opts += [(0.4 - worth[k], k) for k, w in enumerate(kinds) if w[0] == t and (kind == "delegate" or w in self.generic)]
             if not opts:
                 return None
-            saved.append(sorted(opts))
+            opts.sort()
+            saved.append(opts)
         supply = list(rows.values())
-        proper = {k for k, w in enumerate(kinds) if w not in self.generic}
-        wanted = Counter()
+        wanted: dict[int, int] = {}
         for opts, n in zip(saved, supply, strict=True):
-            wanted[opts[0][1]] += n
+            wanted[opts[0][1]] = wanted.get(opts[0][1], 0) + n
         if all(n <= room[k] for k, n in wanted.items()):  # each takes the place it fits best
             best, used = sum(opts[0][0] * n for opts, n in zip(saved, supply, strict=True)), set(wanted)
         else:
             best, used = assign(saved, supply, room), None
         if best is None:
             return None
-        if not proper:
-            return None
         if used is None or not used & proper:
             # part of the name proper must be there: one of the typed words takes such a place
             forced = []
@@ -314,7 +318,7 @@ class Register:
             best = min((f for f in forced if f is not None), default=None)
             if best is None:
                 return None
-        total = best + sum(w * n for w, n in zip(worth, room, strict=True))
+        total = best + all_worth
         if legal != own_legal:
             total += 0.2 if not legal else 1.2 if own_legal else 1.0
         return total
@@ -335,8 +339,9 @@ class Register:
             for w in self.near_word(t):
                 if w not in self.generic:
                     tried |= self.holders[w]
+        rows = Counter(typed)
         for i in tried:
-            if (c := self._cost(typed, legal, self.entries[i])) is not None:
+            if (c := self._cost(rows, len(typed), legal, i)) is not None:
                 offer(self.entries[i][0], c)
         one = "".join(typed)
         for form in {one, one + legal}:
